@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec
+from . import decontaminate, oracles, quality_rules, sentencepiece_codec
 
 #: Where the vocabulary file lies; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -28,9 +29,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(docs, piece_model(), digests=True)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.quality_signals(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of each document."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_sentencepiece": op6_sentencepiece}
+    found = [op5_quality_rules, op6_sentencepiece, op10_decontamination]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": oracles.op5(), "op10_decontamination": oracles.op10()}
