@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, oracles, quality_rules, sentencepiece_codec
+from . import decontaminate, line_dedup, oracles, quality_rules, sentencepiece_codec, substring_dedup
 
 #: Where the vocabulary file lies; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,6 +29,19 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(docs, piece_model(), digests=True)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that no repeated window covers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later repeats of runs of lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs)
+    return done.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -42,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_quality_rules, op6_sentencepiece, op10_decontamination]
+    found = [op2_substring_dedup, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
