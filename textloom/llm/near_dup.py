@@ -31,11 +31,11 @@ from .shared_store import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Registers of a band and bands: a pair of similarity 0.8 is missed with probability (1 - 0.8^4)^24 < 4e-6.
-BAND_ROWS = 4
-BANDS = 24
+#: Registers of a band and bands: a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^32 < 6e-5.
+BAND_ROWS = 6
+BANDS = 32
 #: Leaders of a bucket in each later round; the first round has one.
-LEADERS = 24
+LEADERS = 8
 #: Pairs up to which they are broadcast to the texts (two bigints each).
 BROADCAST_PAIRS = 200_000
 
@@ -132,7 +132,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             empty = np.diff(starts) == 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)), pa.array(ta.signed(np.ascontiguousarray(bands[~empty])).reshape(-1)))
             node = pa.array([x.tobytes() if not e else None for x, e in zip(np.stack([a, b], axis=1), empty.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(first, last - first), batch.column("_rank").slice(first, last - first), node, bands], names=["row", "rank", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(first, last - first), batch.column("_rank").slice(first, last - first), node, pa.array(np.diff(starts)), bands], names=["row", "rank", "node", "size", "bands"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +212,11 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
         met = members_now.join(heads, "bucket").filter("row != head and part != head_part")
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries of buckets with more than one, and n, how many."""
+    return entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """Each document row with its class: row, doc_id, class_id, keeper (boolean).
 
@@ -223,14 +228,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_rank"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    signed = stored(spark, base.mapInArrow(_sign, "row bigint, rank bigint, node binary, bands array<bigint>"))
+    signed = stored(spark, base.mapInArrow(_sign, "row bigint, rank bigint, node binary, size bigint, bands array<bigint>"))
     # equal word sequences: one node, named by its first row
     first = F.min(F.struct("rank", "row")).alias("first")
-    nodes = signed.filter("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).select("node", "first", "copies", "bands")
+    nodes = signed.filter("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stored(spark, nodes)
-    entries = nodes.select(F.col("first.row").alias("row"), "copies", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = entries.join(sizes, "bucket")
+    # similar texts have sizes within 1 / threshold of each other: a bucket is split by size, each member in two
+    # neighbouring classes, so that such a pair shares one
+    entries = _shared(nodes.select(F.col("first.row").alias("row"), "copies", "size", F.explode("bands").alias("bucket"))).drop("n")
+    step = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(threshold)))
+    held = _shared(entries.select("row", "copies", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket")))
     heft = held.groupBy("row").agg((F.sum("n") + F.first("copies")).alias("heft"))
     buckets = stored(spark, held.select("bucket", "row").join(heft, "row"))
     texts = base.select(F.col("_row").alias("row"), F.col("_text").alias("text"))
