@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     added = {"n_lines": "bigint", "n_removed_lines": "bigint"}
     rows = with_row_ids(docs, id_col)
     found = repeated_runs(rows, text_col, _units, winnow(run), 1, run, keep_first=True)
-    joined = rows.drop("_rank").join(found.withColumnRenamed("row", "_row"), "_row", "left_outer").drop("_row")
+    joined = rows.join(found.withColumnRenamed("row", "_row"), "_row", "left_outer")
     kept = [c for c in docs.columns if c not in added]
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup
+from . import chat_format, decontaminate, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup
 
 #: Where the vocabulary file lies; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -48,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_signals(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation, read back from its formatted turns."""
+    return chat_format.conversation_digests(chat_format.probe(table(spark, sf_dir, "conversations")))
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of each document, and whether it is the one that stays."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
@@ -60,9 +65,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_substring_dedup, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op8_minhash_near_dup, op10_decontamination]
+    found = [op2_substring_dedup, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": oracles.op5(), "op10_decontamination": oracles.op10()}
+    return {"op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op10_decontamination": oracles.op10()}

@@ -27,7 +27,8 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Positions (in the slice's units) and hashes of the anchors.
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-SEEN = "k bigint, h bigint, rank bigint, row bigint, at int, shared boolean"
+#: k: the hash, or for settled rows the row. state: 0 alone in its slice, 1 carrier of a shared hash, 2 settled.
+SEEN = "k bigint, rank bigint, row bigint, at int, state tinyint"
 
 
 def with_row_ids(docs: DataFrame, id_col: str) -> DataFrame:
@@ -45,47 +46,40 @@ def _settled(h: np.ndarray, rank: np.ndarray, row: np.ndarray, at: np.ndarray) -
     h, rank, row, at = h[order], rank[order], row[order], at[order]
     same = h[1:] == h[:-1]
     later = np.concatenate([[False], same])
-    shared = later | np.concatenate([same, [False]])
-    key = np.where(later, ta.signed(ta.mix(row.astype(np.uint64))), ta.signed(h))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ta.signed(h), rank, row, at.astype(np.int32), shared)], names=["k", "h", "rank", "row", "at", "shared"])
+    state = np.where(later, 2, np.concatenate([same, [False]])).astype(np.int8)
+    key = np.where(later, row, ta.signed(h))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rank, row, at.astype(np.int32), state)], names=["k", "rank", "row", "at", "state"])
 
 
 def _again(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """From a partition sorted by (h, carriers before settled ones, order): row and position of what is shared.
+    """From a partition sorted by (settled, k, order): row and position of what is shared.
 
     keep_first leaves out the first in order of each hash. Only the current batch and the last
     row of the one before are held, however often a hash stands.
     """
-    names = ["row", "at"]
-    held = None  # the last carrier: (h, row, at, told)
+    held = None  # the last carrier: (k, row, at, told)
     for batch in batches:
-        h, row, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "row", "at"))
-        shared = batch.column("shared").to_numpy(zero_copy_only=False)
-        settled = batch.column("settled").to_numpy(zero_copy_only=False)
-        if not len(h):
-            continue
+        k, row, at, state = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "row", "at", "state"))
+        settled = state == 2
         rows, ats = [row[settled]], [at[settled]]
-        h, row, at, shared = (x[~settled] for x in (h, row, at, shared))
-        if len(h):
-            joins = held is not None and held[0] == h[0]
-            same = np.concatenate([[joins], h[1:] == h[:-1]])
-            after = np.concatenate([h[1:] == h[:-1], [False]])
-            if keep_first:
-                take = same
-            else:
-                take = same | after | shared
+        k, row, at, state = (x[~settled] for x in (k, row, at, state))
+        if len(k):
+            joins = held is not None and held[0] == k[0]
+            equal = k[1:] == k[:-1]
+            take = np.concatenate([[joins], equal])
+            if not keep_first:
+                take |= np.concatenate([equal, [False]]) | (state == 1)
                 if joins and not held[3]:
                     rows.append(np.array([held[1]]))
                     ats.append(np.array([held[2]], np.int32))
-            held = (h[-1], row[-1], at[-1], bool(take[-1]))
+            held = (k[-1], row[-1], at[-1], bool(take[-1]))
             rows.append(row[take])
             ats.append(at[take])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).astype(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).astype(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], names=["row", "at"])
 
 
 def _deal(seen: DataFrame, keep_first: bool) -> DataFrame:
-    dealt = seen.withColumn("settled", F.col("k") != F.col("h")).repartition("k")
-    dealt = dealt.sortWithinPartitions("settled", "h", "rank", "row", "at").select("h", "row", "at", "shared", "settled")
+    dealt = seen.repartition("k").sortWithinPartitions(F.col("state") == 2, "k", *["rank", "row", "at"] * keep_first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _again(batches, keep_first)
@@ -100,22 +94,23 @@ def _by_row(found: DataFrame) -> DataFrame:
 def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors, anchor_length: int, length: int, keep_first: bool) -> DataFrame:
     """row, ats: the first units of the runs of ``length`` that occur again.
 
-    rows has _row, _rank and the text. keep_first leaves out the first occurrence, in the order
+    rows has _row, _rank and the text; a caller that joins the result with the same rows shares
+    their exchange. keep_first leaves out the first occurrence, in the order
     of (_rank, _row, position). Positions count units in the row's whole text from 0.
     """
-    text = rows.select("_row", "_rank", F.col(text_col).alias("_text"))
+    text = rows.select("_row", "_rank", text_col)
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_row", "_rank"))
-            for first, last, data, offsets in ta.text_slices(batch.column("_text")):
+            for first, last, data, offsets in ta.text_slices(batch.column(text_col)):
                 u, starts = units(data, offsets)
                 at, h = anchors(u, starts)
                 of = np.searchsorted(starts, at, "right") - 1
-                yield _settled(h, rank[first:last][of], row[first:last][of], at - starts[of])
+                yield _settled(h, rank[first:last][of] * keep_first, row[first:last][of], at - starts[of])
 
     shared = _by_row(_deal(text.mapInArrow(find_anchors, SEEN), keep_first=False))
-    near = text.join(shared.withColumnRenamed("row", "_row"), "_row")
+    near = rows.join(shared.withColumnRenamed("row", "_row"), "_row")
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +118,7 @@ def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors
             ats = batch.column("ats")
             counts = ats.value_lengths().to_numpy(zero_copy_only=False)
             flat, cum = ats.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
-            for first, last, data, offsets in ta.text_slices(batch.column("_text")):
+            for first, last, data, offsets in ta.text_slices(batch.column(text_col)):
                 u, starts = units(data, offsets)
                 n = len(u)
                 at = flat[cum[first] : cum[last]] + np.repeat(starts[:-1], counts[first:last])
@@ -140,6 +135,6 @@ def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors
                     continue
                 h = ta.window_hashes(u, length)[begin]
                 of = of_unit[begin]
-                yield _settled(h, rank[first:last][of], row[first:last][of], begin - starts[of])
+                yield _settled(h, rank[first:last][of] * keep_first, row[first:last][of], begin - starts[of])
 
     return _by_row(_deal(near.mapInArrow(find_runs, SEEN), keep_first))

@@ -61,7 +61,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     added = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string", "kept_sha256": "string"}
     rows = with_row_ids(docs, id_col)
     found = repeated_runs(rows, text_col, _units, cover_anchors(length, period, cover), length, window, keep_first=False)
-    joined = rows.drop("_rank").join(found.withColumnRenamed("row", "_row"), "_row", "left_outer").drop("_row")
+    joined = rows.join(found.withColumnRenamed("row", "_row"), "_row", "left_outer")
     kept = [c for c in docs.columns if c not in added]
     words = re.compile(rb"[^\x20\x09-\x0D]+")
 
