@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import decontaminate, license_scan, quality_rules
 
 
 def op10() -> str:
@@ -84,3 +84,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(role) + length(body) + 24) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id"""
+
+
+def op9() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))
+    words = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+    grams = "list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
+    t = license_scan.LEAST_DICE
+    return rf"""
+WITH t AS (SELECT k, license, {grams} AS g FROM (SELECT k, license, {words.format(x="body")} AS w FROM (VALUES {rows}) AS v(k, license, body))),
+l AS (SELECT r, line, {grams} AS g FROM (
+  SELECT r, line, {words.format(x="body")} AS w FROM (
+    SELECT r, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line
+    FROM (SELECT row_number() OVER () AS r, text FROM documents WHERE text IS NOT NULL)))),
+d AS (SELECT r, line, k, license, 2 * len(list_intersect(l.g, t.g)) / (len(l.g) + len(t.g)) AS dice
+      FROM l JOIN t ON len(l.g) * {t} <= len(t.g) * (2 - {t}) AND len(t.g) * {t} <= len(l.g) * (2 - {t}) WHERE len(l.g) > 0),
+b AS (SELECT r, line, arg_max(license, (dice, -k)) AS license, max(dice) AS dice FROM d WHERE dice >= {t} GROUP BY r, line),
+s AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n, max(dice) AS best FROM b GROUP BY r)
+SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, round(coalesce(best, 0.0), 6) AS best_dice
+FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) LEFT JOIN s USING (r)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup
+from . import chat_format, decontaminate, license_scan, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 
 #: Where the vocabulary file lies; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -35,6 +35,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +63,12 @@ def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in each document."""
+    found = license_scan.license_summary(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_license_lines", F.round("best_dice", 6).alias("best_dice"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of each document."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,9 +76,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_substring_dedup, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op10_decontamination]
+    found = [op2_substring_dedup, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op9_license_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op10_decontamination": oracles.op10()}
+    return {"op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op9_license_scan": oracles.op9(), "op10_decontamination": oracles.op10()}
