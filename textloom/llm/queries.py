@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from . import chat_format, decontaminate, html_wrapper, license_scan, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 
 #: Where the vocabulary file lies; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,6 +29,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(docs, piece_model(), digests=True)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_wrapper.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that no repeated window covers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,7 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_substring_dedup, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op9_license_scan, op10_decontamination]
+    found = [op1_html_extraction, op2_substring_dedup, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op9_license_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 

@@ -27,8 +27,10 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Positions (in the slice's units) and hashes of the anchors.
 Anchors = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-#: k: the hash, or for settled rows the row. state: 0 alone in its slice, 1 carrier of a shared hash, 2 settled.
-SEEN = "k bigint, rank bigint, row bigint, at int, state tinyint"
+#: k: the hash, or for settled rows the row. at: 4 * position + state, which is 0 for what stands alone in its
+#: slice, 1 for the carrier of a shared hash, 2 for settled rows. rank stands only where order counts.
+SEEN = "k bigint, row bigint, at bigint"
+RANKED = SEEN + ", rank bigint"
 
 
 def with_row_ids(docs: DataFrame, id_col: str) -> DataFrame:
@@ -40,15 +42,16 @@ def with_row_ids(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_rank", rank)
 
 
-def _settled(h: np.ndarray, rank: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of SEEN for one slice; of equal hashes the first in order is the carrier."""
+def _settled(h: np.ndarray, rank: np.ndarray, row: np.ndarray, at: np.ndarray, ranked: bool) -> pa.RecordBatch:
+    """Rows of SEEN or RANKED for one slice; of equal hashes the first in order is the carrier."""
     order = np.lexsort((at, row, rank, h))
     h, rank, row, at = h[order], rank[order], row[order], at[order]
     same = h[1:] == h[:-1]
     later = np.concatenate([[False], same])
-    state = np.where(later, 2, np.concatenate([same, [False]])).astype(np.int8)
+    state = np.where(later, 2, np.concatenate([same, [False]]))
     key = np.where(later, row, ta.signed(h))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rank, row, at.astype(np.int32), state)], names=["k", "rank", "row", "at", "state"])
+    columns = {"k": key, "row": row, "at": at * 4 + state} | ({"rank": rank} if ranked else {})
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], names=list(columns))
 
 
 def _again(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
@@ -59,7 +62,8 @@ def _again(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.R
     """
     held = None  # the last carrier: (k, row, at, told)
     for batch in batches:
-        k, row, at, state = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "row", "at", "state"))
+        k, row, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "row", "at"))
+        at, state = (at >> 2).astype(np.int32), at & 3
         settled = state == 2
         rows, ats = [row[settled]], [at[settled]]
         k, row, at, state = (x[~settled] for x in (k, row, at, state))
@@ -79,7 +83,7 @@ def _again(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.R
 
 
 def _deal(seen: DataFrame, keep_first: bool) -> DataFrame:
-    dealt = seen.repartition("k").sortWithinPartitions(F.col("state") == 2, "k", *["rank", "row", "at"] * keep_first)
+    dealt = seen.repartition("k").sortWithinPartitions(F.col("at").bitwiseAND(3) == 2, "k", *["rank", "row", "at"] * keep_first).select("k", "row", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _again(batches, keep_first)
@@ -107,7 +111,7 @@ def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors
                 u, starts = units(data, offsets)
                 at, h = anchors(u, starts)
                 of = np.searchsorted(starts, at, "right") - 1
-                yield _settled(h, rank[first:last][of] * keep_first, row[first:last][of], at - starts[of])
+                yield _settled(h, rank[first:last][of], row[first:last][of], at - starts[of], False)
 
     shared = _by_row(_deal(text.mapInArrow(find_anchors, SEEN), keep_first=False))
     near = rows.join(shared.withColumnRenamed("row", "_row"), "_row")
@@ -135,6 +139,6 @@ def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors
                     continue
                 h = ta.window_hashes(u, length)[begin]
                 of = of_unit[begin]
-                yield _settled(h, rank[first:last][of] * keep_first, row[first:last][of], begin - starts[of])
+                yield _settled(h, rank[first:last][of], row[first:last][of], begin - starts[of], keep_first)
 
-    return _by_row(_deal(near.mapInArrow(find_runs, SEEN), keep_first))
+    return _by_row(_deal(near.mapInArrow(find_runs, RANKED if keep_first else SEEN), keep_first))
