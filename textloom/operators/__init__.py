@@ -1 +1 @@
-
+"""Operators as functions of DataFrames."""
