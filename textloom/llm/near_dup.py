@@ -7,13 +7,14 @@ sees the points of cells up to w. Each point carries a register; a register keep
 point. Two registers agree with a probability of exactly the weighted Jaccard similarity. Points
 are only made up to a limit by which all registers fill, and the limit is doubled where they don't.
 
-Candidates. Documents with equal word sequences are one node. Nodes that agree in a band share a
-bucket. A bucket compares its members with leaders, never all with all: members that are similar
-to the leader are linked. Where a bucket's members are not yet in one component, leaders from the others
-follow, and meet all but their own component; members of the first component leave as soon as
-they can't be near to what is loose: similar texts differ by at most 1 - threshold in their
-distance from any leader (weighted Jaccard distance is a metric). This goes on until every
-similar pair of a bucket is in one component.
+Candidates. Documents with equal word sequences are one node. Nodes that agree in a band and are
+alike in size share a bucket. A bucket's members are compared with its leader, the node that shares
+most with others; similar ones are linked. Where a bucket's members are not in one component then,
+those outside the leader's are leaders in turn: first a few, then all that are still outside. A
+leader meets no member of its own component, none of another size, and none whose distance from the
+first leader differs by more than 1 - threshold (weighted Jaccard distance is a metric), for these
+can't be similar. So every similar pair of a bucket ends in one component, and pairs are only made
+where components meet.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SIMILARITY = 0.8
 #: Registers of a band and bands: a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^32 < 6e-5.
 BAND_ROWS = 6
 BANDS = 32
-#: Leaders of a bucket in each later round; the first round has one.
+#: Leaders of a bucket in the second round; the first has one, the last all that are outside its component.
 LEADERS = 8
 #: Pairs up to which they are broadcast to the texts (two bigints each).
 BROADCAST_PAIRS = 200_000
@@ -174,42 +175,39 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """node, component for rows with links: every pair of a bucket with similarity ``threshold`` is in one component.
 
-    buckets: bucket, row, heft (the larger, the sooner a leader). texts: row, text.
+    buckets: bucket, row, size, heft (the larger, the sooner a leader). texts: row, text.
     """
     order = F.struct("heft", (-F.col("row")).alias("minus"))
     main = buckets.groupBy("bucket").agg((-F.max(order)["minus"]).alias("main"))
-    members = stored(spark, buckets.join(main, "bucket"))
-    heads = members.select("bucket", F.col("main").alias("head")).distinct()
-    met = members.filter("row != main").withColumn("head", F.col("main"))
-    edges = None
-    while True:
-        pairs = stored(spark, met.select(F.col("row").alias("a"), F.col("head").alias("b")).distinct())
-        sims = stored(spark, _verify(pairs, texts))
-        links = sims.filter(F.col("sim") >= threshold).select("a", "b")
-        edges = links if edges is None else edges.unionByName(links)
+    members = stored(spark, buckets.join(main, "bucket").filter("row != main"))
+    sims = _compared(spark, members.select(F.col("row").alias("a"), F.col("main").alias("b")), texts)
+    edges = sims.filter(F.col("sim") >= threshold).select("a", "b")
+    members = members.join(sims.select(F.col("a").alias("row"), F.col("b").alias("main"), F.col("sim").alias("to_main")), ["row", "main"])
+    for leaders in (LEADERS, None):
         components = stored(spark, connected_components(spark, edges))
         part = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-        # what each bucket still has to compare: members that aren't in the component of its first leader
-        rest = members.join(heads.select("bucket", F.col("head").alias("row")), ["bucket", "row"], "left_anti")
-        rest = rest.join(part("row"), "row", "left_outer").join(part("main"), "main", "left_outer")
-        rest = rest.withColumn("loose", ~F.coalesce("row_part", "row").eqNullSafe(F.coalesce("main_part", "main")))
-        open_buckets = rest.filter("loose").select("bucket").distinct()
-        seen = met.select("bucket", "row", "head").join(sims.select(F.col("a").alias("row"), F.col("b").alias("head"), "sim"), ["row", "head"])
-        seen = seen.join(open_buckets, "bucket", "left_semi").join(rest.select("bucket", "row", "loose"), ["bucket", "row"])
-        # a member that isn't loose leaves if some leader proves it too far from all that are
-        most = seen.filter("loose").groupBy("bucket", "head").agg(F.max("sim").alias("most"), F.count(F.lit(1)).alias("n"))
-        loose_count = rest.filter("loose").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_loose"))
-        most = most.join(loose_count, "bucket").filter("n = n_loose").select("bucket", "head", "most")
-        far = seen.filter("not loose").join(most, ["bucket", "head"]).filter(F.col("sim") - F.col("most") > 1 - threshold + 1e-9).select("bucket", "row").distinct()
-        rest = rest.join(open_buckets, "bucket", "left_semi").join(far, ["bucket", "row"], "left_anti")
-        members_now = stored(spark, rest.select("bucket", "row", "heft", "main", "loose", F.coalesce("row_part", "row").alias("part")))
-        if members_now.isEmpty():
+        # what stands open: buckets with members outside the component of their first leader
+        now = members.join(part("row"), "row", "left_outer").join(part("main"), "main", "left_outer")
+        now = now.select("bucket", "row", "main", "size", "heft", "to_main", F.coalesce("row_part", "row").alias("part"), F.coalesce("main_part", "main").alias("main_part"))
+        now = now.withColumn("loose", F.col("part") != F.col("main_part"))
+        members = stored(spark, now.join(now.filter("loose").select("bucket").distinct(), "bucket", "left_semi"))
+        if members.isEmpty():
             return components
-        ranked = Window.partitionBy("bucket").orderBy(F.desc("heft"), "row")
-        heads = members_now.filter("loose").withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= LEADERS)
-        heads = stored(spark, heads.select("bucket", F.col("row").alias("head"), F.col("part").alias("head_part")))
-        members = members_now.select("bucket", "row", "heft", "main")
-        met = members_now.join(heads, "bucket").filter("row != head and part != head_part")
+        heads = members.filter("loose").select("bucket", F.col("row").alias("head"), F.col("part").alias("head_part"), F.col("size").alias("head_size"), F.col("to_main").alias("head_to_main"), "heft")
+        if leaders:
+            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("heft"), "head"))).filter(F.col("k") <= leaders)
+        met = members.join(heads.drop("heft"), "bucket").filter("part != head_part and (not loose or row > head)" if not leaders else "part != head_part")
+        # sizes bound the similarity, and so do the distances of both from the first leader
+        alike = (F.least("size", "head_size") >= threshold * F.greatest("size", "head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9)
+        sims = _compared(spark, met.filter(alike).select(F.col("row").alias("a"), F.col("head").alias("b")), texts)
+        edges = edges.unionByName(sims.filter(F.col("sim") >= threshold).select("a", "b"))
+        members = members.join(heads.select("bucket", F.col("head").alias("row")), ["bucket", "row"], "left_anti").select("bucket", "row", "main", "size", "heft", "to_main")
+    return stored(spark, connected_components(spark, edges))
+
+
+def _compared(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    pairs = stored(spark, pairs.distinct())
+    return stored(spark, _verify(pairs, texts))
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -237,9 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # neighbouring classes, so that such a pair shares one
     entries = _shared(nodes.select(F.col("first.row").alias("row"), "copies", "size", F.explode("bands").alias("bucket"))).drop("n")
     step = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(threshold)))
-    held = _shared(entries.select("row", "copies", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket")))
+    held = _shared(entries.select("row", "copies", "size", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket")))
     heft = held.groupBy("row").agg((F.sum("n") + F.first("copies")).alias("heft"))
-    buckets = stored(spark, held.select("bucket", "row").join(heft, "row"))
+    buckets = stored(spark, held.select("bucket", "row", "size").join(heft, "row"))
     texts = base.select(F.col("_row").alias("row"), F.col("_text").alias("text"))
     joined = similar_links(spark, buckets, texts, threshold)
     node_class = nodes.select("node", "first.row", "first.rank").join(joined.withColumnRenamed("node", "row"), "row", "left_outer")
