@@ -24,8 +24,8 @@ from . import textarrays as ta
 #: Hashed features.
 BITS = 18
 #: Most rows of labelled text that the model is fitted on: confirmed toxic, and others taken as unlabelled.
-MOST_POSITIVE = 3000
-MOST_UNLABELLED = 6000
+MOST_POSITIVE = 2000
+MOST_UNLABELLED = 3000
 #: Character n-grams of words, beside whole words.
 NGRAMS = (4, 5, 6)
 EPOCHS = 30
@@ -60,7 +60,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in ta.text_slices(batch.column("_text")):
             ids, starts = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("_toxic").slice(first, last - first), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))], names=["toxic", "ids"])
+            packed = pa.array([ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_toxic").slice(first, last - first), packed], names=["toxic", "ids"])
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -101,17 +102,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Fits the scorer on labelled rows outside the held-out fold, at most MOST_POSITIVE and MOST_UNLABELLED of them.
 
-    Which rows is settled by a hash of id and text, so a run doesn't depend on how data lie. The prior
+    Which rows is settled by a hash of the id, so a run doesn't depend on how data lie; an id counts once. The prior
     comes from all labels outside the fold. Without a positive text every score is the prior.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     n, p = counts["n"] or 0, counts["p"] or 0
     prior = min(0.9, max(0.01, p / n)) if n else 0.1
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(known.select(F.col(id_col).alias("_id"), (F.col("toxic") == 1).alias("_toxic")).distinct(), "_id")
-    order = F.xxhash64("_id", "_text")
-    chosen = [rows.filter("_toxic").orderBy(order).limit(MOST_POSITIVE), rows.filter("not _toxic").orderBy(order).limit(MOST_UNLABELLED)]
-    positive, unlabelled = ([np.asarray(r.ids, np.int32) for r in x.mapInArrow(_featurise, "toxic boolean, ids array<int>").collect()] for x in chosen)
+    ids = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("toxic") == 1)).alias("_toxic"))
+    pick = lambda flag, most: ids.filter(F.col("_toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = F.broadcast(pick(True, MOST_POSITIVE).unionByName(pick(False, MOST_UNLABELLED)))  # bounded by the two limits
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, "_id").dropDuplicates(["_id"])
+    found = rows.select("_toxic", "_text").mapInArrow(_featurise, "toxic boolean, ids binary").collect()
+    positive, unlabelled = ([np.frombuffer(r.ids, np.int32) for r in found if r.toxic == flag] for flag in (True, False))
     if not positive or not unlabelled:
         return np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     return fit(positive, unlabelled, prior)
