@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, quality_rules
+from . import decontaminate, license_scan, line_dedup, quality_rules, substring_dedup
 
 
 def op10() -> str:
@@ -104,3 +104,33 @@ b AS (SELECT r, line, arg_max(license, (dice, -k)) AS license, max(dice) AS dice
 s AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n, max(dice) AS best FROM b GROUP BY r)
 SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, round(coalesce(best, 0.0), 6) AS best_dice
 FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) LEFT JOIN s USING (r)"""
+
+
+def op2() -> str:
+    n = substring_dedup.WINDOW
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i : i + {n - 1}], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - {n - 1})) AS t(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + j AS i FROM twice, unnest(generate_series(0, {n - 1})) AS t(j)),
+kept AS (SELECT r, i, word FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN gone USING (r, i)),
+texts AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN texts USING (r)"""
+
+
+def op4() -> str:
+    n = line_dedup.RUN
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+every AS (SELECT doc_id, r, len(l) AS total, unnest(l) AS line, generate_subscripts(l, 1) AS ln FROM d),
+solid AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ln) AS i FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lists AS (SELECT doc_id, r, list(line ORDER BY i) AS w, list(ln ORDER BY i) AS ats FROM solid GROUP BY ALL),
+win AS (SELECT doc_id, r, i, array_to_string(w[i : i + {n - 1}], chr(10)) AS h FROM lists, unnest(generate_series(1, len(w) - {n - 1})) AS t(i)),
+later AS (SELECT r, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i) > 1),
+gone AS (SELECT DISTINCT r, ats[i + j] AS ln FROM later JOIN lists USING (r), unnest(generate_series(0, {n - 1})) AS t(j)),
+kept AS (SELECT * FROM every ANTI JOIN gone USING (r, ln)),
+texts AS (SELECT r, string_agg(line || CASE WHEN ln < total THEN chr(10) ELSE '' END, '' ORDER BY ln) AS body FROM kept GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(len(lists.w), 0) AS BIGINT) AS n_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(texts.body, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (r) LEFT JOIN texts USING (r) LEFT JOIN lost USING (r)"""

@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op9_license_scan": oracles.op9(), "op10_decontamination": oracles.op10()}
+    return {"op2_substring_dedup": oracles.op2(), "op4_line_dedup": oracles.op4(), "op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op9_license_scan": oracles.op9(), "op10_decontamination": oracles.op10()}
