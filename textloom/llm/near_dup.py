@@ -9,12 +9,14 @@ are only made up to a limit by which all registers fill, and the limit is double
 
 Candidates. Documents with equal word sequences are one node. Nodes that agree in a band and are
 alike in size share a bucket. A bucket's members are compared with its leader, the node that shares
-most with others; similar ones are linked. Where a bucket's members are not in one component then,
-those outside the leader's are leaders in turn: first a few, then all that are still outside. A
-leader meets no member of its own component, none of another size, and none whose distance from the
-first leader differs by more than 1 - threshold (weighted Jaccard distance is a metric), for these
-can't be similar. So every similar pair of a bucket ends in one component, and pairs are only made
-where components meet.
+most with others; similar ones are linked. Where a bucket's members are not in one component then, shingles that no
+other member of such buckets has are counted: they bound a member's overlap with all others, and a
+member that can't reach the threshold with the smallest of its bucket leaves the bucket. Of the
+rest, the few with most of their shingles in others are leaders too, then a few of those that are
+still outside the first leader's component, then all of these. A leader meets no member of its own component, none that is
+barred by both sizes and the overlap bound, and none whose distance from the first leader differs
+by more than 1 - threshold (weighted Jaccard distance is a metric), for these can't be similar. So
+every similar pair of a bucket ends in one component, and pairs are only made where components meet.
 """
 
 from __future__ import annotations
@@ -35,9 +37,9 @@ SIMILARITY = 0.8
 #: Registers of a band and bands: a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^32 < 6e-5.
 BAND_ROWS = 6
 BANDS = 32
-#: Leaders of a bucket in the second round; the first has one, the last all that are outside its component.
+#: Further leaders of a bucket in the second and third round; the last has all that are outside the first leader's component.
 LEADERS = 8
-#: Pairs up to which they are broadcast to the texts (two bigints each).
+#: Pairs, or rows, up to which they are broadcast to the texts (two bigints each).
 BROADCAST_PAIRS = 200_000
 
 _U = np.uint64
@@ -159,6 +161,26 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each text, with their counts."""
+    for batch in batches:
+        for first, last, data, offsets in ta.text_slices(batch.column("text")):
+            h, starts, _, _ = shingle_hashes(data, offsets)
+            row = np.repeat(np.asarray(batch.column("row").slice(first, last - first)), np.diff(starts))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(ta.signed(h[at])), pa.array(np.diff(np.append(at, len(h))))], names=["row", "shingle", "weight"])
+
+
+def _own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """row, own: how many shingles of a row, repeats included, no other of the rows has; none left out but zeros."""
+    few = rows.count() <= BROADCAST_PAIRS
+    bags = texts.select("row", "text").join(F.broadcast(rows) if few else rows, "row", "left_semi").select("row", "text").mapInArrow(_bags, "row bigint, shingle bigint, weight bigint")
+    alone = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.sum("weight").alias("weight")).filter("n = 1")
+    return alone.groupBy("row").agg(F.sum("weight").alias("own"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, sim for pairs of rows. Few pairs go to the texts where they lie; many are joined by shuffles."""
     texts = texts.select("row", "text")
@@ -183,26 +205,47 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     sims = _compared(spark, members.select(F.col("row").alias("a"), F.col("main").alias("b")), texts)
     edges = sims.filter(F.col("sim") >= threshold).select("a", "b")
     members = members.join(sims.select(F.col("a").alias("row"), F.col("b").alias("main"), F.col("sim").alias("to_main")), ["row", "main"])
-    for leaders in (LEADERS, None):
-        components = stored(spark, connected_components(spark, edges))
-        part = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-        # what stands open: buckets with members outside the component of their first leader
-        now = members.join(part("row"), "row", "left_outer").join(part("main"), "main", "left_outer")
-        now = now.select("bucket", "row", "main", "size", "heft", "to_main", F.coalesce("row_part", "row").alias("part"), F.coalesce("main_part", "main").alias("main_part"))
-        now = now.withColumn("loose", F.col("part") != F.col("main_part"))
-        members = stored(spark, now.join(now.filter("loose").select("bucket").distinct(), "bucket", "left_semi"))
+    components = stored(spark, connected_components(spark, edges))
+    members = stored(spark, _open(members, components))
+    if members.isEmpty():
+        return components
+    # a shingle that no other open row has is in no overlap
+    own = stored(spark, _own_shingles(members.select("row").distinct(), texts))
+    members = members.join(own, "row", "left_outer").withColumn("core", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    reach = lambda a, b: F.col("core") * ((1 + threshold) / threshold) + 1e-6 >= F.col(a) + F.col(b)
+    members = members.join(least, "bucket").filter(reach("size", "least")).drop("least")
+    for leaders, among in ((LEADERS, "true"), (LEADERS, "loose"), (None, "loose")):
+        members = stored(spark, _open(members, components))
         if members.isEmpty():
             return components
-        heads = members.filter("loose").select("bucket", F.col("row").alias("head"), F.col("part").alias("head_part"), F.col("size").alias("head_size"), F.col("to_main").alias("head_to_main"), "heft")
+        if not leaders:  # a pair meets in the first bucket it shares; a row has 2 * BANDS at most
+            members = stored(spark, members.join(members.groupBy("row").agg(F.collect_list("bucket").alias("its")), "row"))
+        heads = members.filter(among).select("bucket", F.col("row").alias("head"), F.col("part").alias("head_part"), F.col("size").alias("head_size"), F.col("core").alias("head_core"), F.col("to_main").alias("head_to_main"), "heft")
+        if leaders:
+            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("heft"), "head"))).filter(F.col("k") <= leaders)
+        # overlaps and sizes bound the similarity, and so do the distances of both from the first leader
+        alike = (F.least("core", "head_core") * ((1 + threshold) / threshold) + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9)
         if leaders:
-            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("heft"), "head"))).filter(F.col("k") <= leaders)
-        met = members.join(heads.drop("heft"), "bucket").filter("part != head_part and (not loose or row > head)" if not leaders else "part != head_part")
-        # sizes bound the similarity, and so do the distances of both from the first leader
-        alike = (F.least("size", "head_size") >= threshold * F.greatest("size", "head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9)
-        sims = _compared(spark, met.filter(alike).select(F.col("row").alias("a"), F.col("head").alias("b")), texts)
-        edges = edges.unionByName(sims.filter(F.col("sim") >= threshold).select("a", "b"))
-        members = members.join(heads.select("bucket", F.col("head").alias("row")), ["bucket", "row"], "left_anti").select("bucket", "row", "main", "size", "heft", "to_main")
-    return stored(spark, connected_components(spark, edges))
+            met = members.join(heads.drop("heft"), "bucket").filter("part != head_part").filter(alike)
+        else:
+            heads = heads.join(members.select("bucket", F.col("row").alias("head"), F.col("its").alias("head_its")), ["bucket", "head"])
+            met = members.join(heads.drop("heft"), "bucket").filter("part != head_part and (not loose or row > head)").filter(alike).filter("bucket = array_min(array_intersect(its, head_its))")
+        sims = _compared(spark, met.select(F.col("row").alias("a"), F.col("head").alias("b")), texts)
+        links = sims.filter(F.col("sim") >= threshold).select("a", "b")
+        if not links.isEmpty():
+            edges = edges.unionByName(links)
+            components = stored(spark, connected_components(spark, edges))
+        members = members.join(heads.select("bucket", F.col("head").alias("row")), ["bucket", "row"], "left_anti")
+    return components
+
+
+def _open(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of buckets that have one outside the component of their first leader; part: a member's component, loose: outside."""
+    part = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    now = members.drop("part", "loose").join(part("row"), "row", "left_outer").join(part("main"), "main", "left_outer")
+    now = now.withColumn("part", F.coalesce("row_part", "row")).withColumn("loose", F.col("part") != F.coalesce("main_part", "main")).drop("row_part", "main_part")
+    return now.join(now.filter("loose").select("bucket").distinct(), "bucket", "left_semi")
 
 
 def _compared(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
