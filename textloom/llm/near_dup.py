@@ -9,14 +9,15 @@ are only made up to a limit by which all registers fill, and the limit is double
 
 Candidates. Documents with equal word sequences are one node. Nodes that agree in a band and are
 alike in size share a bucket. A bucket's members are compared with its leader, the node that shares
-most with others; similar ones are linked. Where a bucket's members are not in one component then, shingles that no
-other member of such buckets has are counted: they bound a member's overlap with all others, and a
-member that can't reach the threshold with the smallest of its bucket leaves the bucket. Of the
-rest, the few with most of their shingles in others are leaders too, then a few of those that are
-still outside the first leader's component, then all of these. A leader meets no member of its own component, none that is
-barred by both sizes and the overlap bound, and none whose distance from the first leader differs
-by more than 1 - threshold (weighted Jaccard distance is a metric), for these can't be similar. So
-every similar pair of a bucket ends in one component, and pairs are only made where components meet.
+most with others; similar ones are linked. Where a bucket's members are not in one component then,
+shingles that no other member of such buckets has are set apart: the others, counted by class, bound
+every overlap. A member whose overlaps can't reach the threshold even with the smallest of its
+bucket leaves the bucket. Of the rest, the few with most of their shingles in others are leaders
+too, then all that are still outside the first leader's component. A leader meets no member of its
+own component, none that is barred by sizes and the overlap bound, and none whose distance from the
+first leader differs by more than 1 - threshold (weighted Jaccard distance is a metric), for these
+can't be similar. So every similar pair of a bucket ends in one component, and pairs are only made
+where components meet.
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ SIMILARITY = 0.8
 #: Registers of a band and bands: a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^32 < 6e-5.
 BAND_ROWS = 6
 BANDS = 32
-#: Further leaders of a bucket in the second and third round; the last has all that are outside the first leader's component.
+#: Further leaders of a bucket in the second round; the last has all that are outside the first leader's component.
 LEADERS = 8
 #: Pairs, or rows, up to which they are broadcast to the texts (two bigints each).
 BROADCAST_PAIRS = 200_000
+#: Classes of shingles whose counts bound an overlap; a power of 2.
+BINS = 64
 
 _U = np.uint64
 
@@ -173,12 +176,29 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(ta.signed(h[at])), pa.array(np.diff(np.append(at, len(h))))], names=["row", "shingle", "weight"])
 
 
-def _own_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """row, own: how many shingles of a row, repeats included, no other of the rows has; none left out but zeros."""
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each text fall into each of BINS classes."""
+    for batch in batches:
+        for first, last, data, offsets in ta.text_slices(batch.column("text")):
+            h, starts, _, _ = shingle_hashes(data, offsets)
+            at = np.repeat(np.arange(last - first), np.diff(starts)) * BINS + (h & _U(BINS - 1)).astype(np.int64)
+            counts = pa.array(np.bincount(at, minlength=(last - first) * BINS).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * BINS), counts)
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), lists], names=["row", "bins"])
+
+
+def _cores(spark: SparkSession, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """row, core, bins: how many shingles of a row, repeats included, any other of the rows has; in all and by class."""
     few = rows.count() <= BROADCAST_PAIRS
-    bags = texts.select("row", "text").join(F.broadcast(rows) if few else rows, "row", "left_semi").select("row", "text").mapInArrow(_bags, "row bigint, shingle bigint, weight bigint")
+    texts = texts.select("row", "text").join(F.broadcast(rows) if few else rows, "row", "left_semi").select("row", "text")
+    bags = texts.mapInArrow(_bags, "row bigint, shingle bigint, weight bigint")
     alone = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.sum("weight").alias("weight")).filter("n = 1")
-    return alone.groupBy("row").agg(F.sum("weight").alias("own"))
+    alone = alone.groupBy("row", F.col("shingle").bitwiseAND(BINS - 1).cast("int").alias("bin")).agg(F.sum("weight").cast("int").alias("own"))
+    own = alone.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("bin", "own"))).alias("own"))
+    found = texts.mapInArrow(_bins, "row bigint, bins array<int>").join(own, "row", "left_outer")
+    bins = F.transform("bins", lambda n, k: n - F.coalesce(F.try_element_at("own", k), F.lit(0)))
+    found = found.select("row", bins.alias("bins"))
+    return stored(spark, found.select("row", F.aggregate("bins", F.lit(0), lambda x, y: x + y).alias("core"), "bins"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -209,34 +229,34 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     members = stored(spark, _open(members, components))
     if members.isEmpty():
         return components
-    # a shingle that no other open row has is in no overlap
-    own = stored(spark, _own_shingles(members.select("row").distinct(), texts))
-    members = members.join(own, "row", "left_outer").withColumn("core", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    # a shingle that no other open row has is in no overlap; of the others, no more of a class than both have
+    cores = _cores(spark, members.select("row").distinct(), texts)
+    factor = (1 + threshold) / threshold
+    members = members.join(cores.select("row", "core"), "row")
     least = members.groupBy("bucket").agg(F.min("size").alias("least"))
-    reach = lambda a, b: F.col("core") * ((1 + threshold) / threshold) + 1e-6 >= F.col(a) + F.col(b)
-    members = members.join(least, "bucket").filter(reach("size", "least")).drop("least")
-    for leaders, among in ((LEADERS, "true"), (LEADERS, "loose"), (None, "loose")):
+    members = members.join(least, "bucket").filter(F.col("core") * factor + 1e-6 >= F.col("size") + F.col("least")).drop("least")
+    for leaders in (LEADERS, None):
         members = stored(spark, _open(members, components))
         if members.isEmpty():
             return components
-        if not leaders:  # a pair meets in the first bucket it shares; a row has 2 * BANDS at most
-            members = stored(spark, members.join(members.groupBy("row").agg(F.collect_list("bucket").alias("its")), "row"))
-        heads = members.filter(among).select("bucket", F.col("row").alias("head"), F.col("part").alias("head_part"), F.col("size").alias("head_size"), F.col("core").alias("head_core"), F.col("to_main").alias("head_to_main"), "heft")
-        if leaders:
-            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("heft"), "head"))).filter(F.col("k") <= leaders)
-        # overlaps and sizes bound the similarity, and so do the distances of both from the first leader
-        alike = (F.least("core", "head_core") * ((1 + threshold) / threshold) + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9)
+        # a row has 2 * BANDS buckets at most
+        its = members.groupBy("row").agg(F.collect_list("bucket").alias("its")).join(cores.select("row", "bins"), "row")
+        full = members.join(its, "row")
+        heads = full if leaders else full.filter("loose")
+        heads = heads.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "its", "bins", "heft")))
         if leaders:
-            met = members.join(heads.drop("heft"), "bucket").filter("part != head_part").filter(alike)
-        else:
-            heads = heads.join(members.select("bucket", F.col("row").alias("head"), F.col("its").alias("head_its")), ["bucket", "head"])
-            met = members.join(heads.drop("heft"), "bucket").filter("part != head_part and (not loose or row > head)").filter(alike).filter("bucket = array_min(array_intersect(its, head_its))")
-        sims = _compared(spark, met.select(F.col("row").alias("a"), F.col("head").alias("b")), texts)
+            order = Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("head_heft"), "head_row")
+            heads = stored(spark, heads.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= leaders).drop("k"))
+        met = full.join(heads, "bucket").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
+        if not leaders:  # all that are loose are leaders, so a pair may wait for the first bucket it shares
+            met = met.filter("not loose or row > head_row").filter("bucket = array_min(array_intersect(its, head_its))")
+        overlap = F.aggregate(F.zip_with("bins", "head_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        met = met.filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
+        sims = _compared(spark, met.select(F.col("row").alias("a"), F.col("head_row").alias("b")), texts)
         links = sims.filter(F.col("sim") >= threshold).select("a", "b")
         if not links.isEmpty():
-            edges = edges.unionByName(links)
-            components = stored(spark, connected_components(spark, edges))
-        members = members.join(heads.select("bucket", F.col("head").alias("row")), ["bucket", "row"], "left_anti")
+            components = stored(spark, connected_components(spark, components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+        members = members.join(heads.select("bucket", F.col("head_row").alias("row")), ["bucket", "row"], "left_anti") if leaders else members
     return components
 
 
