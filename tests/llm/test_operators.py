@@ -226,3 +226,22 @@ def test_toxicity_learns_words_and_word_parts(spark):
     assert sum(p > n for p in pos for n in neg) / (len(pos) * len(neg)) > 0.95
     none = toxicity.toxicity_scores(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).select("score").distinct().collect()
     assert len(none) == 1
+
+
+def test_toxicity_takes_unlabelled_texts_from_all_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(400)], "doc_id bigint, text string")
+    known = [(i, int(i % 4 == 0)) for i in range(0, 200)]
+    ghosts = [(i, 1) for i in range(10_000, 20_000)]
+    inside = set(docs.filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id").toPandas().doc_id)
+    seen = {}
+
+    def fit(positive, unlabelled, prior):
+        seen.update(positive=len(positive), unlabelled=len({x.tobytes() for x in unlabelled}), prior=prior)
+        return toxicity.np.zeros(1 << toxicity.BITS), 0.0
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    toxicity.train(docs, spark.createDataFrame(known, "doc_id bigint, toxic int"))
+    in_fold = [t for i, t in known if i in inside]
+    assert seen == {"positive": sum(in_fold), "unlabelled": len(inside), "prior": sum(in_fold) / len(in_fold)}
+    toxicity.train(docs, spark.createDataFrame(known + ghosts, "doc_id bigint, toxic int"))
+    assert (seen["positive"], seen["unlabelled"]) == (sum(in_fold), len(inside))

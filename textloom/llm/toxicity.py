@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 A linear scorer over hashed words and character n-grams is fitted from texts confirmed as toxic (P)
-and texts taken as unlabelled (U), with the risk
+and any texts, taken as unlabelled (U), with the risk
 
     pi * R_P(+1) + max(0, R_U(-1) - pi * R_P(-1))
 
@@ -23,7 +23,7 @@ from . import textarrays as ta
 
 #: Hashed features.
 BITS = 18
-#: Most rows of labelled text that the model is fitted on: confirmed toxic, and others taken as unlabelled.
+#: Most documents that the model is fitted on: confirmed toxic, and any, taken as unlabelled.
 MOST_POSITIVE = 2000
 MOST_UNLABELLED = 3000
 #: Character n-grams of words, beside whole words.
@@ -100,20 +100,24 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Fits the scorer on labelled rows outside the held-out fold, at most MOST_POSITIVE and MOST_UNLABELLED of them.
+    """Fits the scorer on document rows outside the held-out fold.
 
-    Which rows is settled by a hash of the id, so a run doesn't depend on how data lie; an id counts once. The prior
-    comes from all labels outside the fold. Without a positive text every score is the prior.
+    Confirmed texts (P) are documents whose label says toxic, at most MOST_POSITIVE of them; unlabelled ones (U) are
+    documents whatever their label says, if they have one, at most MOST_UNLABELLED, so a text may be in both. Which rows
+    is settled by a hash of the id, so a run doesn't depend on how data lie; an id counts once. The prior comes from all
+    labels outside the fold. Without a positive text every score is the prior.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     n, p = counts["n"] or 0, counts["p"] or 0
     prior = min(0.9, max(0.01, p / n)) if n else 0.1
-    ids = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("toxic") == 1)).alias("_toxic"))
-    pick = lambda flag, most: ids.filter(F.col("_toxic") == flag).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    chosen = F.broadcast(pick(True, MOST_POSITIVE).unionByName(pick(False, MOST_UNLABELLED)))  # bounded by the two limits
+    toxic = known.filter(F.col("toxic") == 1).select(F.col(id_col).alias("_id")).distinct()
+    ids = docs.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
+    pick = lambda of, flag, most: of.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id", F.lit(flag).alias("_toxic"))
+    both = pick(ids.join(toxic, "_id", "left_semi"), True, MOST_POSITIVE).unionByName(pick(ids, False, MOST_UNLABELLED))
+    chosen = F.broadcast(both.groupBy("_id").agg(F.collect_set("_toxic").alias("_sets")))  # bounded by the two limits
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, "_id").dropDuplicates(["_id"])
-    found = rows.select("_toxic", "_text").mapInArrow(_featurise, "toxic boolean, ids binary").collect()
+    found = rows.select(F.explode("_sets").alias("_toxic"), "_text").mapInArrow(_featurise, "toxic boolean, ids binary").collect()
     positive, unlabelled = ([np.frombuffer(r.ids, np.int32) for r in found if r.toxic == flag] for flag in (True, False))
     if not positive or not unlabelled:
         return np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
