@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontaminate, html_wrapper, license_scan, line_dedup, near_dup, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from textloom.llm import chat_format, decontaminate, html_wrapper, license_scan, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -245,3 +245,34 @@ def test_toxicity_takes_unlabelled_texts_from_all_documents(spark, monkeypatch):
     assert seen == {"positive": sum(in_fold), "unlabelled": len(inside), "prior": sum(in_fold) / len(in_fold)}
     toxicity.train(docs, spark.createDataFrame(known + ghosts, "doc_id bigint, toxic int"))
     assert (seen["positive"], seen["unlabelled"]) == (sum(in_fold), len(inside))
+
+
+def test_row_numbers_hold_when_a_scan_is_split_anew(spark, docs, monkeypatch):
+    whole = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "1g", "spark.sql.files.minPartitionNum": "1"}
+    split = {"spark.sql.files.openCostInBytes": "1g", "spark.sql.files.maxPartitionBytes": "1g", "spark.sql.files.minPartitionNum": "1"}
+    set_all = lambda of: [spark.conf.set(k, v) for k, v in of.items()]
+    expected = Counter((r.doc_id, r.class_id) for r in near_dup.near_duplicates(docs).collect())
+    kept = Counter(tuple(r) for r in near_dup.keep_one_of_each(docs).collect())
+    store_it = near_dup.stored
+    calls = []
+
+    def stored(session, df):
+        calls.append(0)
+        set_all(whole if len(calls) == 1 else split)
+        return store_it(session, df)
+
+    try:
+        for what in (docs, docs.union(docs.limit(0)), docs.join(spark.createDataFrame([(1,), (1,)], "x int"))):
+            rows = repeated_runs.with_row_ids(what, "doc_id")
+            numbers = []
+            for of in (whole, split):
+                set_all(of)
+                numbers.append(Counter((r._row, r.doc_id, r.text) for r in rows.select("*").collect()))
+            assert numbers[0] == numbers[1] and len({k[0] for k in numbers[0]}) == what.count()
+        monkeypatch.setattr(near_dup, "stored", stored)
+        assert Counter((r.doc_id, r.class_id) for r in near_dup.near_duplicates(docs).collect()) == expected
+        calls.clear()
+        assert Counter(tuple(r) for r in near_dup.keep_one_of_each(docs).collect()) == kept
+    finally:
+        for k in whole:
+            spark.conf.unset(k)

@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     """The documents without lines that repeat: columns of docs, and n_lines, n_removed_lines (bigint).
 
     A line goes if it stands in ``run`` consecutive lines (of those with a word) that already
-    occurred, in a row with a smaller id (nulls last; of equal ids the row stored first) or
+    occurred, in a row with a smaller id (nulls last; of equal ids by row number) or
     higher up in the same text. Lines are compared byte by byte; lines without a word between
     deleted lines stay. Null and empty texts, and texts of fewer lines, stay as they are. If
     docs has n_chars, it becomes the code points of the new text. Columns with clashing names

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import connected_components
-from .shared_store import stored
+from .shared_store import numbered, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -283,12 +283,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are in a class if a chain of links of similarity ``threshold`` or more joins
     them. class_id is the smallest id of the class; keeper marks the row that stays (smallest id,
-    then the row stored first). Null and empty texts and texts without words are classes of their own,
+    then the smallest row number). Null and empty texts and texts without words are classes of their own,
     as is a row with a null id (class_id null unless its class has an id). Repeated rows are
-    copies. docs must be stored files (a scan), whose rows are numbered alike in every job.
+    copies.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_rank"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _classes(numbered(docs), id_col, text_col, threshold)
+
+
+def _classes(rows: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """near_duplicates of rows that have their number, _row."""
+    spark = rows.sparkSession
+    base = rows.select("_row", F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_rank"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     signed = stored(spark, base.mapInArrow(_sign, "row bigint, rank bigint, node binary, size bigint, bands array<bigint>"))
     # equal word sequences: one node, named by its first row
     first = F.min(F.struct("rank", "row")).alias("first")
@@ -315,5 +320,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The documents without all but one of each class, with their own columns."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).filter(~F.col("keeper")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    rows = numbered(docs)
+    gone = _classes(rows, id_col, text_col, threshold).filter(~F.col("keeper")).select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

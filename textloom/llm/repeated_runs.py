@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .shared_store import numbered
 
 #: What a slice of rows gives: unit hashes and the first unit of each row (one entry more than rows).
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -34,12 +35,12 @@ RANKED = SEEN + ", rank bigint"
 
 
 def with_row_ids(docs: DataFrame, id_col: str) -> DataFrame:
-    """_row: a number for each row; the scan of stored files deals the same rows the same numbers in every job.
+    """_row: a number for each row, the same in every job.
 
     _rank orders rows: their integer id where it is one, nulls last.
     """
     rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)) if id_col in docs.columns else F.lit(0).cast("bigint")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_rank", rank)
+    return numbered(docs).withColumn("_rank", rank)
 
 
 def _settled(h: np.ndarray, rank: np.ndarray, row: np.ndarray, at: np.ndarray, ranked: bool) -> pa.RecordBatch:

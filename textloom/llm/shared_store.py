@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,39 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a row's place in its file, below those of its file.
+PLACE_BITS = 32
+#: Nodes of a plan that give each row of a scan at most once.
+PLAIN_NODES = frozenset(("Project", "Filter", "SubqueryAlias", "LogicalRelation"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row: a number of each row that is the same in every job, however a scan is split among tasks.
+
+    Rows of a Parquet scan are numbered by their file and their place in it. Other inputs are stored with their numbers.
+    """
+    place = _place(docs)
+    if place is not None:
+        return docs.withColumn("_row", place)
+    return stored(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _place(docs: DataFrame) -> Column | None:
+    """A number of each row from the metadata of its file; None if docs isn't a plain scan of one Parquet path."""
+    node = docs._jdf.queryExecution().analyzed()
+    plain = "_metadata" not in docs.columns and node.deterministic()
+    while plain and node.nodeName() in PLAIN_NODES and node.children().size() == 1:
+        node = node.children().apply(0)
+    if not plain or node.nodeName() != "LogicalRelation":
+        return None
+    relation = node.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or "ParquetFileFormat" not in relation.fileFormat().getClass().getName() or relation.location().rootPaths().size() != 1:
+        return None
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    code = lambda of, seed: F.xxhash64(of, F.lit(seed)).bitwiseAND((1 << 63 - PLACE_BITS) - 1)
+    files = docs.select(path.alias("path")).groupBy("path").count()
+    counts = files.agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(code("path", k)).alias(f"n{k}") for k in range(4))).first()
+    seed = next((k for k in range(4) if counts[f"n{k}"] == counts["n"]), None)  # one by which no two files share a code
+    return None if seed is None else F.shiftleft(code(path, seed), PLACE_BITS).bitwiseOR(index)
