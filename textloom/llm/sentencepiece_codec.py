@@ -21,12 +21,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared_store import bounded_batches
+
 META = "▁"
 #: Entries of each of the two tables of units in a worker; a full one becomes the older one, from which units
-#: in use move on (this changes no result).
-UNIT_TABLE = 400_000
+#: in use move on (this changes no result). With UNIT_LENGTH it bounds both to about 80 MB.
+UNIT_TABLE = 200_000
 #: Longer units aren't kept in the table.
-UNIT_LENGTH = 64
+UNIT_LENGTH = 40
+#: Pairs of tokens whose compatibility a worker keeps (about 30 MB).
+PAIR_TABLE = 250_000
 
 
 class PieceCodec:
@@ -63,10 +67,14 @@ class PieceCodec:
         automaton.make_automaton()
         self.automaton = automaton
         self.length = [len(p) for p in self.pieces]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.pair_base = size
+        self.same = list(range(size))  # one object for each id, whoever holds it
         self.units: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.splitter = re.compile(f"{META}+[^{META}\n]*|[^{META}\n]+|\n")
+        # a line break is a unit of its own where no piece has one; else only meta spaces part units
+        apart = "" if any("\n" in self.pieces[i] for i in plain) else "\n"
+        self.splitter = re.compile(f"{META}+[^{META}{apart}]*|[^{META}{apart}]+" + f"|{apart}" * bool(apart))
 
     def merge(self, text: str) -> list[int | str]:
         """The defining procedure for a short text: join the best pair, the leftmost of equals, until none is a piece."""
@@ -83,18 +91,18 @@ class PieceCodec:
         return [self.id_of.get(p, p) for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.pair_base + right
         found = self.fits.get(key)
         if found is None:
             found = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
-            if len(self.fits) >= 8 * UNIT_TABLE:
+            if len(self.fits) >= PAIR_TABLE:
                 self.fits.clear()
             self.fits[key] = found
         return found
 
     def _covered(self, text: str) -> list[int]:
         """Ids of a text whose characters all are in the alphabet."""
-        last, fits, length = [-1] * (len(text) + 1), self.fits.get, self.length
+        last, fits, length, base = [-1] * (len(text) + 1), self.fits.get, self.length, self.pair_base
         for end, token in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
@@ -102,7 +110,7 @@ class PieceCodec:
                     before = last[start]
                     if before < 0:
                         continue
-                    fit = fits((before, token))
+                    fit = fits(before * base + token)
                     if not (self.compatible(before, token) if fit is None else fit):
                         continue
                 last[end] = token
@@ -139,6 +147,7 @@ class PieceCodec:
         if len(unit) <= UNIT_LENGTH:
             if len(self.units) >= UNIT_TABLE:
                 self.units, self.older = {}, self.units
+            found = tuple(map(self.same.__getitem__, found))
             self.units[unit] = found
         return found
 
@@ -202,6 +211,7 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text", dige
     ``digests`` it adds n_tokens, ids_sha256 and decoded_sha256 instead, so that long texts and
     id lists don't leave the Python workers. One narrow pass without a shuffle.
     """
+    bounded_batches(docs.sparkSession)
     added = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {"token_ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded_text": pa.string()}
     kept = [c for c in docs.columns if c not in added]
     if digests:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (as in tests), a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,6 +27,19 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that go to a Python worker at once; longer texts go alone.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES, so that whole texts don't pile up in workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)
+    if not 0 < number <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Bits of a row's place in its file, below those of its file.
 PLACE_BITS = 32
 #: Nodes of a plan that give each row of a scan at most once.
@@ -36,6 +51,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     Rows of a Parquet scan are numbered by their file and their place in it. Other inputs are stored with their numbers.
     """
+    bounded_batches(docs.sparkSession)
     place = _place(docs)
     if place is not None:
         return docs.withColumn("_row", place)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .shared_store import bounded_batches
 
 #: Hashed features.
 BITS = 18
@@ -107,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     is settled by a hash of the id, so a run doesn't depend on how data lie; an id counts once. The prior comes from all
     labels outside the fold. Without a positive text every score is the prior.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     n, p = counts["n"] or 0, counts["p"] or 0
@@ -133,6 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
 
     The weights (2^BITS numbers, whatever the input) go to the executors once. A null id isn't held out.
     """
+    bounded_batches(docs.sparkSession)
     used = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((used, weights[used].astype(np.float64), bias))
 
