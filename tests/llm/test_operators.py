@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontaminate, html_wrapper, license_scan, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
+from textloom.llm import chat_format, decontaminate, license_scan, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -179,27 +179,6 @@ def test_chat_round_trip(spark):
         assert got[conv].loss_sha256 == hashlib.sha256("".join(x for _, r, x in mine if r == "assistant").encode()).hexdigest()
 
 
-def test_html(spark):
-    page = """<html><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use</div>
-      <article><h1>T &eacute;</h1><div class="ad-slot">buy</div><p>One <i>two</i><br>three<p>four &lt;b&gt;<ul><li>a<li>b</ul>
-      <form>x<input></form><aside>rel</aside><!-- c --><script>if(a<b){}</script><div id="comments"><p>nice</p></div></article><footer>f</footer></body></html>"""
-    plain = [f"<html><body><div>menu</div><p>text {k} here</p><p>and {k + 1}</p><div>imprint</div></body></html>" for k in range(3)]
-    rows = [(1, "http://a.example/x", page), (2, None, None), (3, "http://a.example/y", "")] + [(10 + k, "https://b.example/p", p) for k, p in enumerate(plain)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {r.page_id: r for r in html_wrapper.extract_main_text(df).collect()}
-    assert got[1].text == "T é\n\nOne two three\n\nfour <b>\n\na\n\nb" and got[1].n_chars == len(got[1].text)
-    assert got[2].text == got[3].text == ""
-    assert got[10].text == "text 0 here\n\nand 1"
-
-
-def test_wrapper_alignment_makes_slots_optionals_and_groups():
-    a = html_wrapper.page_wrapper("<h1>A</h1><p>same</p><div>x</div>")
-    b = html_wrapper.page_wrapper("<h1>B</h1><p>same</p><p>more</p>")
-    items, pages = html_wrapper.align(a, b)
-    assert pages == 2
-    assert items == [["h1", None, False, False], ["p", None, False, True], ["div", "x", True, False]]
-
-
 def test_licenses(spark, docs):
     df = spark.createDataFrame([(1, "words\nReleased under the MIT License.\nmore"), (2, None), (3, "licensed under the apache license version 2.0"), (3, "licensed under the apache license version 2.0")], "doc_id bigint, text string")
     got = Counter((r.doc_id, tuple(r.licenses), r.n_license_lines) for r in license_scan.license_summary(df).collect())
