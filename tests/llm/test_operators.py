@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontaminate, license_scan, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
+from textloom.llm import chat_format, decontaminate, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -179,12 +179,6 @@ def test_chat_round_trip(spark):
         assert got[conv].loss_sha256 == hashlib.sha256("".join(x for _, r, x in mine if r == "assistant").encode()).hexdigest()
 
 
-def test_licenses(spark, docs):
-    df = spark.createDataFrame([(1, "words\nReleased under the MIT License.\nmore"), (2, None), (3, "licensed under the apache license version 2.0"), (3, "licensed under the apache license version 2.0")], "doc_id bigint, text string")
-    got = Counter((r.doc_id, tuple(r.licenses), r.n_license_lines) for r in license_scan.license_summary(df).collect())
-    assert got == Counter({(1, ("MIT",), 1): 1, (2, (), 0): 1, (3, ("Apache-2.0",), 1): 2})
-
-
 def test_toxicity_learns_words_and_word_parts(spark):
     rnd = random.Random(9)
     rows, labels = [], []

@@ -1,87 +1,107 @@
 """License scans with DataFrame functions only: Dice coefficient over word bigrams.
 
-Each line of a text and each template are normalised to words; a line is compared with a template
-by the Dice coefficient of their sets of word bigrams. It can only reach a threshold t if the sizes
-a and b of the sets have a * t / (2 - t) <= b <= a * (2 - t) / t, so templates are joined to lines
-by size, over the few sizes that qualify.
+A template is compared with windows of a text as long as itself (in words; shorter at the text's
+ends) by the Dice coefficient of their sets of word bigrams. A set of b bigrams can only reach a
+threshold t with one of a if a * t / (2 - t) <= b <= a * (2 - t) / t, and then has at least
+a * t / (2 - t) of the a. So it has one of any a - ceil(a * t / (2 - t)) + 1 of them: these, the
+ones of most letters, are the template's anchors. The anchors of all templates are one broadcast
+table, bounded by the list of templates. Each place of a text whose bigram is an anchor aligns the
+template with the text, and the window there is compared.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 LEAST_DICE = 0.7
 
-# Notices by which licences are named, and the licence that each stands for.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("Proprietary", "All rights reserved."),
-)
-
-
-def bigrams(text: Column) -> Column:
-    """The set of word bigrams of a text: lower case, words of letters and digits; a single word pairs with ""."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))).otherwise(words)
-
-
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, license, grams, n_grams: bounded by the list of templates."""
-    rows = [(k, name, text) for k, (name, text) in enumerate(templates)]
-    made = spark.createDataFrame(rows, "template int, license string, body string")
-    return made.select("template", "license", bigrams(F.col("body")).alias("grams")).withColumn("n_grams", F.size("grams"))
-
-
-def license_lines(docs: DataFrame, least: float = LEAST_DICE, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text_key, line (from 0), license, dice for each line of a document that reaches the threshold with some template.
-
-    Of several templates the one of the largest coefficient counts, of equals the first. One row per
-    line of a document row; repeated rows give repeated rows. Null and empty texts give none.
+
+def least_bigrams(n: int, least: float) -> int:
+    """Bigrams of which a set must have at least so many to reach ``least`` with a set of n."""
+    return max(1, math.ceil(n * least / (2 - least) - 1e-9))
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def anchors(words: list[str], least: float) -> list[int]:
+    """Offsets of a template's anchors: all places of the bigrams that were chosen."""
+    places: dict[tuple[str, str], list[int]] = {}
+    for k, pair in enumerate(zip(words, words[1:], strict=False)):
+        places.setdefault(pair, []).append(k)
+    chosen = sorted(places, key=lambda p: (-len(p[0] + p[1]), p))[: len(places) - least_bigrams(len(places), least) + 1]
+    return sorted(k for p in chosen for k in places[p])
+
+
+def anchor_table(spark: SparkSession, least: float = LEAST_DICE, templates=TEMPLATES) -> DataFrame:
+    """A row for each anchor: code (hash of its bigram), template, license, offset, body (the words), length, earlier (offsets before it), grams, n_grams."""
+    rows = []
+    for k, (name, text) in enumerate(templates):
+        words = template_words(text)
+        found = anchors(words, least)
+        rows += [(k, name, at, words, found[:n]) for n, at in enumerate(found)]
+    made = spark.createDataFrame(rows, "template int, license string, offset int, body array<string>, earlier array<int>")
+    made = made.withColumn("grams", bigrams(F.col("body"))).withColumn("n_grams", F.size("grams")).withColumn("length", F.size("body"))
+    return made.withColumn("code", F.xxhash64(F.get("body", F.col("offset")), F.get("body", F.col("offset") + 1)))
+
+
+def bigrams(words: Column) -> Column:
+    """The set of word bigrams."""
+    after = F.slice(words, F.lit(2), F.size(words))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(after)), after, lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(pairs)
+
+
+def license_spans(docs: DataFrame, least: float = LEAST_DICE, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_key, template, license, start, stop (words, from 0), dice: the windows that reach ``least``.
+
+    Words are lower-case runs of letters and digits, so markup, indents and line ends don't count. Each alignment of a template is
+    one row, also where several anchors give it. Null and empty texts, and those of one word, give none;
+    repeated rows give equal rows. text_key, a hash of the text, tells rows of one id apart.
     """
     spark = docs.sparkSession
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line", "body"))
-    known = template_table(spark, templates).withColumn("size", F.explode(F.sequence(F.ceil(F.col("n_grams") * least / (2 - least)).cast("int"), F.floor(F.col("n_grams") * (2 - least) / least).cast("int"))))
-    most = max(int(len(t.split()) * 2 * (2 - least) / least) for _, t in templates)
-    # a line far longer than any template is left out by its blanks, before it is cut into words
-    short = F.char_length("body") - F.char_length(F.replace("body", F.lit(" "), F.lit(""))) <= 2 * most
-    lines = lines.filter(short).withColumn("g", bigrams(F.col("body"))).withColumn("size", F.size("g"))
-    common = F.size(F.array_intersect("g", "grams"))
-    dice = 2 * common / (F.col("size") + F.col("n_grams"))
-    found = lines.join(F.broadcast(known), "size").withColumn("dice", dice).filter(F.col("dice") >= least)
-    best = found.groupBy("id", "text_key", "line").agg(F.max(F.struct("dice", (-F.col("template")).alias("t"), "license")).alias("best"))
-    return best.select(F.col("id").alias(id_col), "text_key", "line", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
-
-
-def license_summary(docs: DataFrame, least: float = LEAST_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: its id, licenses (sorted, distinct), n_license_lines (bigint), best_dice.
-
-    Documents without a license line have an empty list, 0 and 0.0; so have null texts. Rows that
-    are repeated or share an id are kept apart by their texts, and each has its own row.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "").alias("w"))
+    places = F.when(F.size("w") > 1, F.sequence(F.lit(0), F.size("w") - 2))
+    at = base.select("id", "text_key", "w", F.explode(places).alias("pos"))
+    at = at.withColumn("code", F.xxhash64(F.get("w", F.col("pos")), F.get("w", F.col("pos") + 1)))
+    hits = at.join(F.broadcast(anchor_table(spark, least, templates)), "code").withColumn("begin", F.col("pos") - F.col("offset"))
+    hits = hits.withColumn("start", F.greatest(F.col("begin"), F.lit(0))).withColumn("stop", F.least(F.col("begin") + F.col("length"), F.size("w")))
+    hits = hits.filter((F.col("stop") - F.col("start") - 1) * (2 - least) >= F.col("n_grams") * least - 1e-9)
+    # behind an explode, so that Catalyst puts what needs lambdas not into the join, which would
+    # then copy the whole text for each place, but behind it, where only windows are left
+    window = F.struct("begin", "start", "stop", F.slice("w", F.col("start") + 1, F.col("stop") - F.col("start")).alias("words"))
+    hits = hits.select("id", "text_key", "template", "license", "body", "earlier", "grams", "n_grams", F.explode(F.array(window)).alias("at"))
+    word = lambda k: F.get("at.words", F.col("at.begin") - F.col("at.start") + k)
+    same = lambda k: F.coalesce((word(k) == F.get("body", k)) & (word(k + 1) == F.get("body", k + 1)), F.lit(False))
+    # the first anchor that aligns a window stands for it
+    hits = hits.filter(~F.exists("earlier", lambda k: (F.col("at.begin") + k >= F.col("at.start")) & same(k)))
+    window = bigrams(F.col("at.words"))
+    hits = hits.select("id", "text_key", "template", "license", "at.start", "at.stop", "grams", "n_grams", window.alias("found"))
+    dice = 2 * F.size(F.array_intersect("found", "grams")) / (F.size("found") + F.col("n_grams"))
+    return hits.withColumn("dice", dice).filter(F.col("dice") >= least).select("id", "text_key", "template", "license", "start", "stop", "dice")
+
+
+def license_summary(docs: DataFrame, least: float = LEAST_DICE, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: its id, licenses (sorted, distinct), n_license_words (bigint), best_dice.
+
+    A word belongs to the best window over it (largest coefficient, then first template, first start, last end); a
+    window counts if at least half of its words belong to it, so that a licence isn't taken for
+    another one like it. Documents without such a window have an empty list, 0 and 0.0; so have null texts. Rows
+    that are repeated or share an id are kept apart by their texts, and each has its own row.
     """
-    found = license_lines(docs, least, id_col=id_col, text_col=text_col)
-    by_doc = found.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_set("license")).alias("licenses"), F.count(F.lit(1)).alias("n_license_lines"), F.max("dice").alias("best_dice"))
-    keyed = docs.select(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"))
-    out = keyed.join(by_doc, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_outer")
-    return out.select(id_col, F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("bigint").alias("n_license_lines"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))
+    spans = license_spans(docs, least, templates, id_col, text_col)
+    words = spans.withColumn("word", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
+    best = words.groupBy("id", "text_key", "word").agg(F.max(F.struct("dice", (-F.col("template")).alias("t"), (-F.col("start")).alias("s"), "stop", "license")).alias("b"))
+    own = best.groupBy("id", "text_key", "b").agg(F.count(F.lit(1)).alias("n")).filter(2 * F.col("n") >= F.col("b.stop") + F.col("b.s"))
+    by_doc = own.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_set("b.license")).alias("licenses"), F.sum("n").alias("n_license_words"), F.max("b.dice").alias("best_dice"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"))
+    out = keyed.join(by_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_outer")
+    return out.select(F.col("id").alias(id_col), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_license_words", F.lit(0)).cast("bigint").alias("n_license_words"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))

@@ -87,23 +87,26 @@ FROM r GROUP BY conv_id"""
 
 
 def op9() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))
-    words = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
-    grams = "list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
-    t = license_scan.LEAST_DICE
+    t, quote = license_scan.LEAST_DICE, lambda x: "'" + x.replace("'", "''") + "'"
+    rows = []
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        words = license_scan.template_words(text)
+        rows.append(f"({k}, {quote(name)}, {words}, {license_scan.anchors(words, t)})")
+    grams = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return rf"""
-WITH t AS (SELECT k, license, {grams} AS g FROM (SELECT k, license, {words.format(x="body")} AS w FROM (VALUES {rows}) AS v(k, license, body))),
-l AS (SELECT r, line, {grams} AS g FROM (
-  SELECT r, line, {words.format(x="body")} AS w FROM (
-    SELECT r, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line
-    FROM (SELECT row_number() OVER () AS r, text FROM documents WHERE text IS NOT NULL)))),
-d AS (SELECT r, line, k, license, 2 * len(list_intersect(l.g, t.g)) / (len(l.g) + len(t.g)) AS dice
-      FROM l JOIN t ON len(l.g) * {t} <= len(t.g) * (2 - {t}) AND len(t.g) * {t} <= len(l.g) * (2 - {t}) WHERE len(l.g) > 0),
-b AS (SELECT r, line, arg_max(license, (dice, -k)) AS license, max(dice) AS dice FROM d WHERE dice >= {t} GROUP BY r, line),
-s AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n, max(dice) AS best FROM b GROUP BY r)
-SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, round(coalesce(best, 0.0), 6) AS best_dice
-FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) LEFT JOIN s USING (r)"""
+WITH t AS (SELECT k, license, w AS body, {grams.format(w="w")} AS g, a FROM (VALUES {", ".join(rows)}) AS v(k, license, w, a)),
+anchor AS (SELECT k, off, body[off + 1] || ' ' || body[off + 2] AS gram FROM (SELECT k, body, unnest(a) AS off FROM t)),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+p AS (SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(0, len(w) - 1)) AS pos FROM d),
+al AS (SELECT DISTINCT r, k, pos - off AS begin FROM p JOIN anchor USING (gram)),
+c AS (SELECT r, k, license, g, greatest(begin, 0) AS start, least(begin + len(body), len(w)) AS stop, w[greatest(begin, 0) + 1 : least(begin + len(body), len(w))] AS win FROM al JOIN t USING (k) JOIN d USING (r)),
+x AS (SELECT r, k, license, start, stop, 2 * len(list_intersect(wg, g)) / (len(wg) + len(g)) AS dice FROM (SELECT *, {grams.format(w="win")} AS wg FROM c)),
+word AS (SELECT *, unnest(range(start, stop)) AS place FROM x WHERE dice >= {t}),
+best AS (SELECT * FROM word QUALIFY row_number() OVER (PARTITION BY r, place ORDER BY dice DESC, k, start, stop DESC) = 1),
+own AS (SELECT r, license, dice, count(*) AS n FROM best GROUP BY r, k, license, start, stop, dice HAVING 2 * count(*) >= stop - start),
+s AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, sum(n) AS n, max(dice) AS best FROM own GROUP BY r)
+SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_words, round(coalesce(best, 0.0), 6) AS best_dice
+FROM d LEFT JOIN s USING (r)"""
 
 
 def op2() -> str:

@@ -71,7 +71,7 @@ def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in each document."""
     found = license_scan.license_summary(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_license_lines", F.round("best_dice", 6).alias("best_dice"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_license_words", F.round("best_dice", 6).alias("best_dice"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
