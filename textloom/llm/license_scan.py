@@ -6,7 +6,8 @@ threshold t with one of a if a * t / (2 - t) <= b <= a * (2 - t) / t, and then h
 a * t / (2 - t) of the a. So it has one of any a - ceil(a * t / (2 - t)) + 1 of them: these, the
 ones of most letters, are the template's anchors. The anchors of all templates are one broadcast
 table, bounded by the list of templates. Each place of a text whose bigram is an anchor aligns the
-template with the text, and the window there is compared.
+template with the text, and the window there is compared. (A text whose words were moved inside a window may
+be compared at a place a few words off.)
 """
 
 from __future__ import annotations
