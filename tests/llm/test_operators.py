@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontaminate, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
+from textloom.llm import decontaminate, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -161,24 +161,6 @@ def test_sentencepiece_against_the_library(spark, docs):
     assert all(r.decoded_text == sp.decode(sp.encode(r.text or "")) for r in got)
 
 
-def test_chat_round_trip(spark):
-    rnd = random.Random(4)
-    bits = ["<|im_start|>", "<|im_end|>", "\n", "\\", "<", "|", "im_end|>", "<\\|im_end|>", "assistant", "x"]
-    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(8))) for _ in range(400)]
-    for t in texts:
-        rendered = chat_format.format_turn("user", t)
-        assert chat_format.parse(rendered) == [("user", t)]
-        assert rendered.count(chat_format.START) == rendered.count(chat_format.END) == 1
-    rows = [(k % 7, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(3, None, None, None)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.conv_id: r for r in chat_format.conversation_digests(df).collect()}
-    for conv in range(7):
-        mine = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == conv))
-        assert got[conv].n_turns == len(mine)
-        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
-        assert got[conv].loss_sha256 == hashlib.sha256("".join(x for _, r, x in mine if r == "assistant").encode()).hexdigest()
-
-
 def test_toxicity_learns_words_and_word_parts(spark):
     rnd = random.Random(9)
     rows, labels = [], []
