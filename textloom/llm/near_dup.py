@@ -13,11 +13,12 @@ most with others; similar ones are linked. Where a bucket's members are not in o
 shingles that no other member of such buckets has are set apart: the others, counted by class, bound
 every overlap. A member whose overlaps can't reach the threshold even with the smallest of its
 bucket leaves the bucket. Of the rest, the few with most of their shingles in others are leaders
-too, then all that are still outside the first leader's component. A leader meets no member of its
-own component, none that is barred by sizes and the overlap bound, and none whose distance from the
-first leader differs by more than 1 - threshold (weighted Jaccard distance is a metric), for these
-can't be similar. So every similar pair of a bucket ends in one component, and pairs are only made
-where components meet.
+too. A leader meets no member of its own component, none that is barred by sizes and the overlap
+bound, and none whose distance from the first leader differs by more than 1 - threshold (weighted
+Jaccard distance is a metric), for these can't be similar. What is then still outside its first
+leader's component is joined by prefixes: two similar multisets share one of the rarest shingles of
+each, so many that the others are too few for the threshold. So every similar pair of a bucket ends
+in one component, and no bucket's members are all paired.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ SIMILARITY = 0.8
 #: Registers of a band and bands: a pair of similarity 0.8 is missed with probability (1 - 0.8^6)^32 < 6e-5.
 BAND_ROWS = 6
 BANDS = 32
-#: Further leaders of a bucket in the second round; the last has all that are outside the first leader's component.
+#: Further leaders of a bucket in the second round.
 LEADERS = 8
+#: Members that meet one copy of a leader's text; a leader with more has more copies, dealt to other tasks.
+MET_BY_ONE_COPY = 2000
 #: Pairs, or rows, up to which they are broadcast to the texts (two bigints each).
 BROADCAST_PAIRS = 200_000
 #: Classes of shingles whose counts bound an overlap; a power of 2.
@@ -202,16 +205,18 @@ def _cores(spark: SparkSession, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, sim for pairs of rows. Few pairs go to the texts where they lie; many are joined by shuffles."""
+    """a, b, sim for pairs of rows. Few pairs go to the texts where they lie; many are joined by shuffles.
+
+    A row b of many pairs is dealt to several tasks, each with a copy of its text.
+    """
     texts = texts.select("row", "text")
-    if pairs.count() <= BROADCAST_PAIRS:
-        left = texts.join(F.broadcast(pairs), F.col("row") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
-        heads = pairs.select(F.col("b").alias("head")).distinct()
-        right = texts.join(F.broadcast(heads), F.col("row") == F.col("head")).select(F.col("head").alias("b"), F.col("text").alias("text_b"))
-    else:
-        left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-        right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a bigint, b bigint, sim double")
+    heads = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MET_BY_ONE_COPY).cast("int").alias("copies"))
+    few = pairs.count() <= BROADCAST_PAIRS
+    small = F.broadcast if few else lambda df: df
+    pairs = pairs.join(small(heads), "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").cast("int").alias("copy"))
+    left = texts.join(small(pairs), F.col("row") == F.col("a")).select("a", "b", "copy", F.col("text").alias("text_a"))
+    right = texts.join(small(heads), F.col("row") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("text_b"))
+    return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a bigint, b bigint, sim double")
 
 
 def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -221,12 +226,17 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     """
     order = F.struct("heft", (-F.col("row")).alias("minus"))
     main = buckets.groupBy("bucket").agg((-F.max(order)["minus"]).alias("main"))
-    members = stored(spark, buckets.join(main, "bucket").filter("row != main"))
-    sims = _compared(spark, members.select(F.col("row").alias("a"), F.col("main").alias("b")), texts)
-    edges = sims.filter(F.col("sim") >= threshold).select("a", "b")
-    members = members.join(sims.select(F.col("a").alias("row"), F.col("b").alias("main"), F.col("sim").alias("to_main")), ["row", "main"])
-    components = stored(spark, connected_components(spark, edges))
-    members = stored(spark, _open(members, components))
+    # a group of near copies shares most of its buckets and their leader: one row for each member and leader, with its
+    # buckets (2 * BANDS at most)
+    pairs = buckets.join(main, "bucket").filter("row != main").groupBy("row", "main").agg(F.first("size").alias("size"), F.first("heft").alias("heft"), F.collect_list("bucket").alias("its"))
+    pairs = stored(spark, pairs)
+    sims = _compared(spark, pairs.select(F.col("row").alias("a"), F.col("main").alias("b")), texts)
+    components = stored(spark, connected_components(spark, sims.filter(F.col("sim") >= threshold).select("a", "b")))
+    pairs = pairs.join(sims.select(F.col("a").alias("row"), F.col("b").alias("main"), F.col("sim").alias("to_main")), ["row", "main"])
+    pairs = _parts(pairs, components)
+    loose = pairs.filter("loose").select(F.explode("its").alias("bucket")).distinct()
+    members = pairs.withColumn("bucket", F.explode("its")).drop("its").join(loose, "bucket", "left_semi")
+    members = stored(spark, members)
     if members.isEmpty():
         return components
     # a shingle that no other open row has is in no overlap; of the others, no more of a class than both have
@@ -235,36 +245,61 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     members = members.join(cores.select("row", "core"), "row")
     least = members.groupBy("bucket").agg(F.min("size").alias("least"))
     members = members.join(least, "bucket").filter(F.col("core") * factor + 1e-6 >= F.col("size") + F.col("least")).drop("least")
-    for leaders in (LEADERS, None):
-        members = stored(spark, _open(members, components))
-        if members.isEmpty():
-            return components
-        # a row has 2 * BANDS buckets at most
-        its = members.groupBy("row").agg(F.collect_list("bucket").alias("its")).join(cores.select("row", "bins"), "row")
-        full = members.join(its, "row")
-        heads = full if leaders else full.filter("loose")
-        heads = heads.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "its", "bins", "heft")))
-        if leaders:
-            order = Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("head_heft"), "head_row")
-            heads = stored(spark, heads.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= leaders).drop("k"))
-        met = full.join(heads, "bucket").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
-        if not leaders:  # all that are loose are leaders, so a pair may wait for the first bucket it shares
-            met = met.filter("not loose or row > head_row").filter("bucket = array_min(array_intersect(its, head_its))")
-        overlap = F.aggregate(F.zip_with("bins", "head_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        met = met.filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
-        sims = _compared(spark, met.select(F.col("row").alias("a"), F.col("head_row").alias("b")), texts)
-        links = sims.filter(F.col("sim") >= threshold).select("a", "b")
-        if not links.isEmpty():
-            components = stored(spark, connected_components(spark, components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
-        members = members.join(heads.select("bucket", F.col("head_row").alias("row")), ["bucket", "row"], "left_anti") if leaders else members
-    return components
+    members = stored(spark, _open(members, components))
+    if members.isEmpty():
+        return components
+    full = members.join(cores.select("row", "bins"), "row")
+    heads = full.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "bins", "heft")))
+    first = Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("head_heft"), "head_row")
+    heads = stored(spark, heads.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= LEADERS).drop("k"))
+    met = full.join(heads, "bucket").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
+    overlap = F.aggregate(F.zip_with("bins", "head_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    met = met.filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
+    components = _linked(spark, components, met.select(F.col("row").alias("a"), F.col("head_row").alias("b")), texts, threshold)
+    members = members.join(heads.select("bucket", F.col("head_row").alias("row")), ["bucket", "row"], "left_anti")
+    members = stored(spark, _open(members, components))
+    if members.isEmpty():
+        return components
+    return _linked(spark, components, _prefix_pairs(members, texts, threshold), texts, threshold)
 
 
-def _open(members: DataFrame, components: DataFrame) -> DataFrame:
-    """The members of buckets that have one outside the component of their first leader; part: a member's component, loose: outside."""
+def _linked(spark: SparkSession, components: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The components with the links of those pairs that are similar."""
+    links = _compared(spark, pairs, texts).filter(F.col("sim") >= threshold).select("a", "b")
+    if links.isEmpty():
+        return components
+    return stored(spark, connected_components(spark, components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of open rows, one of them loose, in different components, that share a shingle of both prefixes.
+
+    In the order of (rows that have it, hash), a multiset of n shingles has a prefix of n - ceil(threshold * n) + 1; two of
+    the similarity have a shingle in common there. One that no other open row has joins nothing.
+    """
+    rows = members.groupBy("row").agg(F.first("part").alias("part"), F.max("loose").alias("loose"), F.first("size").alias("size"))
+    bags = texts.join(rows.select("row"), "row", "left_semi").select("row", "text").mapInArrow(_bags, "row bigint, shingle bigint, weight bigint")
+    shared = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ranked = bags.join(shared, "shingle", "left_outer").join(rows, "row").withColumn("n", F.coalesce("n", F.lit(1)))
+    before = Window.partitionBy("row").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    prefix = ranked.withColumn("upto", F.sum("weight").over(before)).filter((F.col("upto") - F.col("weight") < length) & (F.col("n") > 1))
+    x = prefix.select("shingle", F.col("row").alias("a"), F.col("part").alias("part_a"), F.col("loose").alias("loose_a"), F.col("size").alias("size_a"))
+    y = prefix.select("shingle", F.col("row").alias("b"), F.col("part").alias("part_b"), F.col("loose").alias("loose_b"), F.col("size").alias("size_b"))
+    fits = (F.col("size_a") >= threshold * F.col("size_b") - 1e-6) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-6)
+    return x.join(y, "shingle").filter("a < b and part_a != part_b and (loose_a or loose_b)").filter(fits).select("a", "b")
+
+
+def _parts(members: DataFrame, components: DataFrame) -> DataFrame:
+    """part: the component of each member (itself where it has no link); loose: not that of its first leader."""
     part = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     now = members.drop("part", "loose").join(part("row"), "row", "left_outer").join(part("main"), "main", "left_outer")
-    now = now.withColumn("part", F.coalesce("row_part", "row")).withColumn("loose", F.col("part") != F.coalesce("main_part", "main")).drop("row_part", "main_part")
+    return now.withColumn("part", F.coalesce("row_part", "row")).withColumn("loose", F.col("part") != F.coalesce("main_part", "main")).drop("row_part", "main_part")
+
+
+def _open(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members, with their parts, of buckets that have one outside the component of their first leader."""
+    now = _parts(members, components)
     return now.join(now.filter("loose").select("bucket").distinct(), "bucket", "left_semi")
 
 
