@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
+from textloom.llm import line_dedup, near_dup, quality_rules, repeated_runs, sentencepiece_codec, substring_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -120,19 +120,6 @@ def test_bag_minhash_estimates_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - true) < 0.04
 
 
-def test_decontamination(spark, tmp_path, docs):
-    item = docs.filter("doc_id = 9").first().text.split()
-    bench = spark.createDataFrame([(1, " ".join(item[20:35]).upper() + "!"), (2, "Only, THREE words"), (3, None), (None, "nothing here matches at all")], "item_id bigint, text string")
-    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
-    assert (got[9].n_hit, got[9].item_ids, got[9].contaminated) == (15, ["1"], True)
-    assert (got[None].n_hit, got[None].item_ids) == (3, ["2"])
-    assert got[101].n_words == 0 and not got[101].contaminated
-    assert decontaminate.contamination(docs, bench).count() == docs.count()
-    assert not decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count()
-    left = decontaminate.decontaminate(docs, bench)
-    assert left.columns == docs.columns and left.count() == docs.count() - 2
-
-
 def test_quality(spark, docs):
     got = {r.doc_id: r for r in quality_rules.quality_signals(docs).collect()}
     assert got[101].n_words == 0 and got[101].base_failed and not got[101].kept
