@@ -205,11 +205,11 @@ def test_row_numbers_hold_when_a_scan_is_split_anew(spark, docs, monkeypatch):
 
     try:
         for what in (docs, docs.union(docs.limit(0)), docs.join(spark.createDataFrame([(1,), (1,)], "x int"))):
-            rows = repeated_runs.with_row_ids(what, "doc_id")
+            rows = repeated_runs.with_row_ids(what, "doc_id").select("_row", "doc.doc_id", "doc.text")
             numbers = []
             for of in (whole, split):
                 set_all(of)
-                numbers.append(Counter((r._row, r.doc_id, r.text) for r in rows.select("*").collect()))
+                numbers.append(Counter((r._row, r.doc_id, r.text) for r in rows.collect()))
             assert numbers[0] == numbers[1] and len({k[0] for k in numbers[0]}) == what.count()
         monkeypatch.setattr(near_dup, "stored", stored)
         assert Counter((r.doc_id, r.class_id) for r in near_dup.near_duplicates(docs).collect()) == expected

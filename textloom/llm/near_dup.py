@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import connected_components
-from .shared_store import numbered, stored
+from .shared_store import fields, numbered, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -328,7 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classes(rows: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """near_duplicates of rows that have their number, _row."""
     spark = rows.sparkSession
-    base = rows.select("_row", F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_rank"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = F.col("doc").getField
+    base = rows.select("_row", F.coalesce(own(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_rank"), F.coalesce(own(text_col), F.lit("")).alias("_text"))
     signed = stored(spark, base.mapInArrow(_sign, "row bigint, rank bigint, node binary, size bigint, bands array<bigint>"))
     # equal word sequences: one node, named by its first row
     first = F.min(F.struct("rank", "row")).alias("first")
@@ -357,4 +358,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The documents without all but one of each class, with their own columns."""
     rows = numbered(docs)
     gone = _classes(rows, id_col, text_col, threshold).filter(~F.col("keeper")).select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_row", "left_anti").select(*fields(docs))

@@ -123,15 +123,17 @@ FROM d LEFT JOIN texts USING (r)"""
 
 
 def op4() -> str:
-    n = line_dedup.RUN
+    n, least = line_dedup.RUN, line_dedup.WORDS
+    reach = " ".join(f"WHEN i + {k - 1} <= len(w) AND list_sum(c[i : i + {k - 1}]) >= {least} THEN {k}" for k in range(1, n))
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 every AS (SELECT doc_id, r, len(l) AS total, unnest(l) AS line, generate_subscripts(l, 1) AS ln FROM d),
-solid AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ln) AS i FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-lists AS (SELECT doc_id, r, list(line ORDER BY i) AS w, list(ln ORDER BY i) AS ats FROM solid GROUP BY ALL),
-win AS (SELECT doc_id, r, i, array_to_string(w[i : i + {n - 1}], chr(10)) AS h FROM lists, unnest(generate_series(1, len(w) - {n - 1})) AS t(i)),
-later AS (SELECT r, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i) > 1),
-gone AS (SELECT DISTINCT r, ats[i + j] AS ln FROM later JOIN lists USING (r), unnest(generate_series(0, {n - 1})) AS t(j)),
+solid AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ln) AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lists AS (SELECT doc_id, r, list(line ORDER BY i) AS w, list(ln ORDER BY i) AS ats, list(n ORDER BY i) AS c FROM solid GROUP BY ALL),
+runs AS (SELECT doc_id, r, i, w, CASE {reach} WHEN i + {n - 1} <= len(w) THEN {n} WHEN i = 1 AND len(w) < {n} THEN -len(w) END AS k FROM lists, unnest(generate_series(1, len(w))) AS t(i)),
+win AS (SELECT doc_id, r, i, abs(k) AS k, k || chr(10) || array_to_string(w[i : i + abs(k) - 1], chr(10)) AS h FROM runs WHERE k IS NOT NULL),
+later AS (SELECT r, i, k FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i) > 1),
+gone AS (SELECT DISTINCT r, ats[i + j] AS ln FROM later JOIN lists USING (r), unnest(generate_series(0, k - 1)) AS t(j)),
 kept AS (SELECT * FROM every ANTI JOIN gone USING (r, ln)),
 texts AS (SELECT r, string_agg(line || CASE WHEN ln < total THEN chr(10) ELSE '' END, '' ORDER BY ln) AS body FROM kept GROUP BY r),
 lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)

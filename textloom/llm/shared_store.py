@@ -46,16 +46,30 @@ PLACE_BITS = 32
 PLAIN_NODES = frozenset(("Project", "Filter", "SubqueryAlias", "LogicalRelation"))
 
 
+def whole(docs: DataFrame) -> Column:
+    """doc: a struct of all columns, out of the way of other names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def fields(docs: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of docs (or those named) out of doc."""
+    return [F.col("doc").getField(c).alias(c) for c in (docs.columns if names is None else names)]
+
+
+def struct_type(docs: DataFrame) -> str:
+    return "struct<" + ", ".join(f"`{c}`: {t}" for c, t in docs.dtypes) + ">"
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row: a number of each row that is the same in every job, however a scan is split among tasks.
+    """doc (struct of the columns of docs) and _row: a number of each row that is the same in every job, however a scan is split among tasks.
 
     Rows of a Parquet scan are numbered by their file and their place in it. Other inputs are stored with their numbers.
     """
     bounded_batches(docs.sparkSession)
     place = _place(docs)
     if place is not None:
-        return docs.withColumn("_row", place)
-    return stored(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()))
+        return docs.select(whole(docs), place.alias("_row"))
+    return stored(docs.sparkSession, docs.select(whole(docs), F.monotonically_increasing_id().alias("_row")))
 
 
 def _place(docs: DataFrame) -> Column | None:

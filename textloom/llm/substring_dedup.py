@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import textarrays as ta
 from .repeated_runs import repeated_runs, with_row_ids
+from .shared_store import fields, struct_type
 
 WINDOW = 35
 PERIOD = 21
@@ -26,9 +28,15 @@ PERIOD = 21
 COVER = (0, 1, 6, 8, 18)
 
 
-def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = ta.tokens(data, offsets, ta.SPACE_SEPARATORS)
-    return ta.token_hashes(data, starts, ends), first
+def word_runs(window: int):
+    """Words, each the first of a run of ``window`` where so many are left in its row."""
+
+    def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, first = ta.tokens(data, offsets, ta.SPACE_SEPARATORS)
+        left = np.repeat(first[1:], np.diff(first)) - np.arange(len(starts))
+        return ta.token_hashes(data, starts, ends), first, np.where(left >= window, window, 0)
+
+    return units
 
 
 def cover_anchors(length: int, period: int, cover: tuple[int, ...]):
@@ -36,7 +44,7 @@ def cover_anchors(length: int, period: int, cover: tuple[int, ...]):
     chosen = np.zeros(period, bool)
     chosen[list(cover)] = True
 
-    def anchors(u: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(u: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.diff(starts)
         of = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(u)) - np.repeat(starts[:-1], counts)
@@ -60,15 +68,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     length = window - period + 1
     added = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string", "kept_sha256": "string"}
     rows = with_row_ids(docs, id_col)
-    found = repeated_runs(rows, text_col, _units, cover_anchors(length, period, cover), length, window, keep_first=False)
+    found = repeated_runs(rows, text_col, word_runs(window), cover_anchors(length, period, cover), length, window, keep_first=False)
     joined = rows.join(found.withColumnRenamed("row", "_row"), "_row", "left_outer")
     kept = [c for c in docs.columns if c not in added]
+    joined = joined.select("doc", "ats")
     words = re.compile(rb"[^\x20\x09-\x0D]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, ats in zip(batch.column(text_col), batch.column("ats"), strict=True):
+            for text, ats in zip(pc.struct_field(batch.column("doc"), text_col), batch.column("ats"), strict=True):
                 w = words.findall((text.as_py() or "").encode())
                 rest = w
                 if ats.is_valid:
@@ -82,7 +91,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                 for column, x in zip(out, (len(w), len(w) - len(rest), text.decode(), hashlib.sha256(text).hexdigest()), strict=True):
                     column.append(x)
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + arrays, names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=["doc", *added])
 
-    types = dict(docs.dtypes)
-    return joined.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"{c} {t}" for c, t in added.items()]))
+    done = joined.mapInArrow(run, ", ".join([f"doc {struct_type(docs)}"] + [f"{c} {t}" for c, t in added.items()]))
+    return done.select(*fields(docs, kept), *added)
