@@ -1,4 +1,4 @@
-"""The rounds of leaders and prefixes on one crowded bucket, against all pairs."""
+"""The rounds of leaders on one crowded bucket, against all pairs."""
 
 import random
 from collections import Counter

@@ -13,12 +13,11 @@ most with others; similar ones are linked. Where a bucket's members are not in o
 shingles that no other member of such buckets has are set apart: the others, counted by class, bound
 every overlap. A member whose overlaps can't reach the threshold even with the smallest of its
 bucket leaves the bucket. Of the rest, the few with most of their shingles in others are leaders
-too. A leader meets no member of its own component, none that is barred by sizes and the overlap
-bound, and none whose distance from the first leader differs by more than 1 - threshold (weighted
-Jaccard distance is a metric), for these can't be similar. What is then still outside its first
-leader's component is joined by prefixes: two similar multisets share one of the rarest shingles of
-each, so many that the others are too few for the threshold. So every similar pair of a bucket ends
-in one component, and no bucket's members are all paired.
+too, then those that are still outside the first leader's component. A leader meets no member of its
+own component, none that is barred by sizes and the overlap bound, and none whose distance from the
+first leader differs by more than 1 - threshold (weighted Jaccard distance is a metric), for these
+can't be similar. So every similar pair of a bucket ends in one component, and pairs are only made
+where components meet.
 """
 
 from __future__ import annotations
@@ -245,22 +244,25 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     members = members.join(cores.select("row", "core"), "row")
     least = members.groupBy("bucket").agg(F.min("size").alias("least"))
     members = members.join(least, "bucket").filter(F.col("core") * factor + 1e-6 >= F.col("size") + F.col("least")).drop("least")
-    members = stored(spark, _open(members, components))
-    if members.isEmpty():
-        return components
-    full = members.join(cores.select("row", "bins"), "row")
-    heads = full.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "bins", "heft")))
-    first = Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("head_heft"), "head_row")
-    heads = stored(spark, heads.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= LEADERS).drop("k"))
-    met = full.join(heads, "bucket").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
-    overlap = F.aggregate(F.zip_with("bins", "head_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    met = met.filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
-    components = _linked(spark, components, met.select(F.col("row").alias("a"), F.col("head_row").alias("b")), texts, threshold)
-    members = members.join(heads.select("bucket", F.col("head_row").alias("row")), ["bucket", "row"], "left_anti")
-    members = stored(spark, _open(members, components))
-    if members.isEmpty():
-        return components
-    return _linked(spark, components, _prefix_pairs(members, texts, threshold), texts, threshold)
+    for leaders in (LEADERS, None):
+        members = stored(spark, _open(members, components))
+        if members.isEmpty():
+            return components
+        its = members.groupBy("row").agg(F.collect_list("bucket").alias("its")).join(cores.select("row", "bins"), "row")
+        full = members.join(its, "row")
+        heads = full if leaders else full.filter("loose")
+        heads = heads.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "its", "bins", "heft")))
+        if leaders:
+            first = Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("head_heft"), "head_row")
+            heads = stored(spark, heads.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= leaders).drop("k"))
+        met = full.join(heads, "bucket").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
+        if not leaders:  # all that are loose are leaders, so a pair may wait for the first bucket it shares
+            met = met.filter("not loose or row > head_row").filter("bucket = array_min(array_intersect(its, head_its))")
+        overlap = F.aggregate(F.zip_with("bins", "head_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        met = met.filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
+        components = _linked(spark, components, met.select(F.col("row").alias("a"), F.col("head_row").alias("b")), texts, threshold)
+        members = members.join(heads.select("bucket", F.col("head_row").alias("row")), ["bucket", "row"], "left_anti") if leaders else members
+    return components
 
 
 def _linked(spark: SparkSession, components: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -271,25 +273,6 @@ def _linked(spark: SparkSession, components: DataFrame, pairs: DataFrame, texts:
     return stored(spark, connected_components(spark, components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of open rows, one of them loose, in different components, that share a shingle of both prefixes.
-
-    In the order of (rows that have it, hash), a multiset of n shingles has a prefix of n - ceil(threshold * n) + 1; two of
-    the similarity have a shingle in common there. One that no other open row has joins nothing.
-    """
-    rows = members.groupBy("row").agg(F.first("part").alias("part"), F.max("loose").alias("loose"), F.first("size").alias("size"))
-    bags = texts.join(rows.select("row"), "row", "left_semi").select("row", "text").mapInArrow(_bags, "row bigint, shingle bigint, weight bigint")
-    shared = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranked = bags.join(shared, "shingle", "left_outer").join(rows, "row").withColumn("n", F.coalesce("n", F.lit(1)))
-    before = Window.partitionBy("row").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    prefix = ranked.withColumn("upto", F.sum("weight").over(before)).filter((F.col("upto") - F.col("weight") < length) & (F.col("n") > 1))
-    x = prefix.select("shingle", F.col("row").alias("a"), F.col("part").alias("part_a"), F.col("loose").alias("loose_a"), F.col("size").alias("size_a"))
-    y = prefix.select("shingle", F.col("row").alias("b"), F.col("part").alias("part_b"), F.col("loose").alias("loose_b"), F.col("size").alias("size_b"))
-    fits = (F.col("size_a") >= threshold * F.col("size_b") - 1e-6) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-6)
-    return x.join(y, "shingle").filter("a < b and part_a != part_b and (loose_a or loose_b)").filter(fits).select("a", "b")
-
-
 def _parts(members: DataFrame, components: DataFrame) -> DataFrame:
     """part: the component of each member (itself where it has no link); loose: not that of its first leader."""
     part = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
