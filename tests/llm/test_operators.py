@@ -120,16 +120,47 @@ def test_bag_minhash_estimates_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - true) < 0.04
 
 
-def test_quality(spark, docs):
-    got = {r.doc_id: r for r in quality_rules.quality_signals(docs).collect()}
-    assert got[101].n_words == 0 and got[101].base_failed and not got[101].kept
-    assert got[105].n_repeat_words == 400 and got[105].base_failed
-    kept = quality_rules.keep_good(docs)
-    assert kept.columns == docs.columns
+def plain_counts(text):
+    w = WORDS.findall(text or "")
+    seen = Counter(zip(w, w[1:], w[2:]))
+    repeated = {i + j for i, g in enumerate(zip(w, w[1:], w[2:])) if seen[g] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>") if text else 0, len(lines) - len(set(lines)), len(repeated)
+
+
+@pytest.mark.parametrize("spare", [0, 44])
+def test_quality_counts_against_brute_force(spark, docs, monkeypatch, spare):
+    monkeypatch.setattr(quality_rules, "SPARE_BITS", spare)  # hashes that don't tell windows apart
+    rnd = random.Random(1)
+    rows = [(k, " ".join(rnd.choice("abcd|#é") for _ in range(rnd.randrange(60)))) for k in range(40)] + [(50, " ".join(f"w{k % 30_011}" for k in range(60_000)))]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn("lang", F.lit("en"))
+    names = ("_w", "_h", "_doc", "doc", "_text", "kept")
+    got = quality_rules.quality_signals(df.withColumns({c: F.lit("mine") for c in names}))
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.collect()) == Counter((r.doc_id, *plain_counts(r.text)) for r in df.collect())
+    assert got.filter("_w != 'mine' or _doc != 'mine' or doc != 'mine'").count() == 0
+
+
+def test_quality_verdicts(spark, docs):
+    kept = quality_rules.keep_good(docs.withColumn("_doc", F.lit(1)))
+    assert kept.columns == [*docs.columns, "_doc"] and not kept.filter("doc_id in (101, 102, 103, 105) or doc_id is null").count()
+    assert quality_rules.keep_good(docs.limit(0)).count() == 0
     junk = spark.createDataFrame([(1, "### | $$$ 123 | " * 60 + " ".join(words(80, 3)), "en")], "doc_id bigint, text string, lang string")
     assert not quality_rules.quality_signals(junk).first().kept
 
 
+def test_each_distance_rejects_by_itself_and_leaves_labelled_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    pytest.importorskip("pathlib").Path(folder).is_dir() or pytest.skip("no tables")
+    signals = quality_rules.quality_signals(spark.read.parquet(f"{folder}/documents.parquet")).filter("not base_failed")
+    rows = signals.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+    # words of no language in running prose: only the word distance can tell
+    prose = " ".join(rnd_word for rnd_word in (random.Random(5).choice(["lorem", "ipsum", "dolor", "sit", "amet,"]) + f"{chr(97 + k % 26)}x" for k in range(900)))
+    r = quality_rules.quality_signals(spark.createDataFrame([(1, prose, "en")], "doc_id bigint, text string, lang string")).first()
+    assert not r.base_failed and not r.kept and r.class_distance < quality_rules.MOST_CLASS_DISTANCE
+
+
 def test_sentencepiece_against_the_library(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece

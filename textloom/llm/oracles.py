@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import decontaminate, license_scan, line_dedup, quality_rules, substring_dedup
 
 
@@ -65,7 +67,7 @@ judged AS (
   FROM counted LEFT JOIN rep USING (r)),
 verdict AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         NOT base_failed AND coalesce(d1, 0) <= {q.MOST_CLASS_DISTANCE} AND coalesce(d2, 0) <= {q.MOST_WORD_DISTANCE} AS kept
+         NOT base_failed AND coalesce(d1 <= {q.MOST_CLASS_DISTANCE} + sqrt({4 / (8 * math.log(2))!r} / length(t)), true) AND coalesce(d2 <= {q.MOST_WORD_DISTANCE} + sqrt({12 / (8 * math.log(2))!r} / total), true) AS kept
   FROM judged)
 SELECT {columns} FROM verdict"""
 
