@@ -220,6 +220,28 @@ def test_toxicity_takes_unlabelled_texts_from_all_documents(spark, monkeypatch):
     assert (seen["positive"], seen["unlabelled"]) == (sum(in_fold), len(inside))
 
 
+def test_risk_of_a_mixture_is_that_of_known_classes():
+    """Positive-unlabelled risk against the risk with all labels, on scores of two known classes mixed."""
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for prior in (0.1, 0.4):
+        toxic, clean = rnd.normal(1.0, 1.5, 200_000), rnd.normal(-1.0, 1.0, 200_000)
+        mixed = np.where(rnd.random(200_000) < prior, rnd.permutation(toxic), clean)
+        ours = toxicity.nnpu_risk(toxic, mixed, prior)
+        true = prior * np.mean(np.log1p(np.exp(-toxic))), (1 - prior) * np.mean(np.log1p(np.exp(clean)))
+        assert abs(ours[0] - true[0]) < 0.005 and abs(ours[1] - true[1]) < 0.01
+
+
+def test_toxicity_on_odd_rows(spark):
+    docs = spark.createDataFrame([(k, "grobble stuff here" if k % 3 == 0 else "plain words only") for k in range(90)] + [(None, "grobble"), (7, "plain words only"), (300, "long " * 300_000), (301, None)], "doc_id bigint, text string").withColumns({c: F.lit("mine") for c in ("_id", "_held", "toxic", "score")})
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(None, 1), (5, None), (0, 0), (0, 1), (999, 1)], "doc_id bigint, toxic int").withColumn("text", F.lit("mine"))
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == 94 and all(0 <= r.score <= 1 for r in got) and {r.held_out for r in got if r.doc_id is None} == {False}
+    assert len({r.score for r in got if r.doc_id == 7}) == 1
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
 def test_row_numbers_hold_when_a_scan_is_split_anew(spark, docs, monkeypatch):
     whole = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "1g", "spark.sql.files.minPartitionNum": "1"}
     split = {"spark.sql.files.openCostInBytes": "1g", "spark.sql.files.maxPartitionBytes": "1g", "spark.sql.files.minPartitionNum": "1"}

@@ -5,9 +5,12 @@ and any texts, taken as unlabelled (U), with the risk
 
     pi * R_P(+1) + max(0, R_U(-1) - pi * R_P(-1))
 
-where pi is the share of toxic texts and R the mean logistic loss. Where the second term of a batch
-falls below zero, the step goes the other way on it, so that the scorer can't gain by pushing
-unlabelled texts below what the prior allows (Kiryo et al., 2017).
+where pi is the share of toxic texts and R the mean logistic loss. U is drawn from all texts, so it is
+a mixture with a share pi of toxic ones, and the second term is the risk on the others, unbiased.
+Where it falls below zero, the step goes the other way on it, so that the scorer can't gain by
+pushing unlabelled texts below what the prior allows (Kiryo et al., 2017). Both sets are bounded, so
+each step takes all of them. Features enter by the logarithm of how much more often they are in P
+than in U; those of less than LEAST_RATIO stay out, as does what fewer than LEAST_TEXTS of P have.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ MOST_UNLABELLED = 3000
 #: Character n-grams of words, beside whole words.
 NGRAMS = (4, 5, 6)
 EPOCHS = 30
+#: Least logarithm of a feature's share in P to that in U, and least texts of P that have it.
+LEAST_RATIO = 0.7
+LEAST_TEXTS = 3
 FOLDS = 5
 
 
@@ -65,15 +71,20 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("_toxic").slice(first, last - first), packed], names=["toxic", "ids"])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias. Features of fewer than three positive texts have no weight."""
+def nnpu_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the risk for the scores (before the logistic function) of P and U; the second may be negative."""
+    loss = lambda z, sign: float(np.mean(np.logaddexp(0, -sign * z))) if len(z) else 0.0
+    return prior * loss(positive, 1), loss(unlabelled, -1) - prior * loss(positive, -1)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias from the feature ids of each text of P and U."""
     size = 1 << BITS
     n_pos = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]).astype(np.int64), minlength=size)
     n_unl = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int32)]).astype(np.int64), minlength=size)
     p_pos, p_unl = (n_pos + 0.5) / (len(positive) + 1), (n_unl + 0.5) / (len(unlabelled) + 1)
-    # a text's features differ in how telling they are: those as common in either set hardly move
-    telling = np.where(n_pos >= 3, np.log(p_pos / p_unl), 0.0)
-    scale = np.where(telling > 0.7, np.minimum(telling, 4.0), 0.0)
+    telling = np.where(n_pos >= LEAST_TEXTS, np.log(p_pos / p_unl), 0.0)
+    scale = np.where(telling > LEAST_RATIO, np.minimum(telling, 4.0), 0.0)
     keep = [x[scale[x] > 0] for x in [*positive, *unlabelled]]
     lengths = np.array([len(x) for x in keep])
     flat, row = np.concatenate([*keep, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(keep)), lengths)
@@ -86,10 +97,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         rate = 1.0 / (1 + 0.1 * epoch)
         z = b + np.bincount(row, w[flat] * value, minlength=len(keep))
         s = sigmoid(z)
-        risk_pos_neg = prior * np.mean(np.logaddexp(0, z[is_pos])) if is_pos.any() else 0.0
-        risk_unl = np.mean(np.logaddexp(0, z[~is_pos])) - risk_pos_neg if (~is_pos).any() else 0.0
         g = np.zeros(len(keep))
-        way = 1.0 if risk_unl >= 0 else -1.0
+        way = 1.0 if nnpu_risk(z[is_pos], z[~is_pos], prior)[1] >= 0 else -1.0
         g[is_pos] = prior * (-(1 - s[is_pos]) - way * s[is_pos]) / max(1, is_pos.sum())
         g[~is_pos] = way * s[~is_pos] / max(1, (~is_pos).sum())
         grad = np.bincount(flat, g[row] * value, minlength=size) + 1e-5 * w * (scale > 0)
@@ -105,11 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Confirmed texts (P) are documents whose label says toxic, at most MOST_POSITIVE of them; unlabelled ones (U) are
     documents whatever their label says, if they have one, at most MOST_UNLABELLED, so a text may be in both. Which rows
-    is settled by a hash of the id, so a run doesn't depend on how data lie; an id counts once. The prior comes from all
-    labels outside the fold. Without a positive text every score is the prior.
+    is settled by a hash of the id, so a run doesn't depend on how data lie; an id counts once, as toxic if any of its
+    labels says so. The prior comes from all labels outside the fold. Null ids and null labels are left out. Without a
+    positive text every score is the prior.
     """
     bounded_batches(docs.sparkSession)
-    known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     n, p = counts["n"] or 0, counts["p"] or 0
     prior = min(0.9, max(0.01, p / n)) if n else 0.1
