@@ -156,7 +156,8 @@ def test_each_distance_rejects_by_itself_and_leaves_labelled_documents(spark):
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
     # words of no language in running prose: only the word distance can tell
-    prose = " ".join(rnd_word for rnd_word in (random.Random(5).choice(["lorem", "ipsum", "dolor", "sit", "amet,"]) + f"{chr(97 + k % 26)}x" for k in range(900)))
+    rnd = random.Random(5)
+    prose = " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) + ("." if k % 8 == 7 else "") for k in range(900))
     r = quality_rules.quality_signals(spark.createDataFrame([(1, prose, "en")], "doc_id bigint, text string, lang string")).first()
     assert not r.base_failed and not r.kept and r.class_distance < quality_rules.MOST_CLASS_DISTANCE
 

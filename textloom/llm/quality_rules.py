@@ -148,13 +148,12 @@ def _signals(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     within = lambda c, most, kinds, size: F.coalesce(F.col(c) <= most + noise(kinds, size), F.lit(True))
     alike = within("class_distance", MOST_CLASS_DISTANCE, 5, chars) & within("word_distance", MOST_WORD_DISTANCE, 13, total)
-    return df.withColumn("kept", ~F.col("base_failed") & alike).select("doc", *ADDED)
+    df = df.withColumn("kept", ~F.col("base_failed") & alike)
+    # behind an explode: Catalyst would put a filter on a signal, with each signal that it is made of written out
+    # wherever it is used, below the projections that compute signals once
+    return df.select("doc", F.explode(F.array(F.struct(*ADDED))).alias("q")).select("doc", *[F.col("q").getField(c).alias(c) for c in ADDED])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns; rows with null texts fail, repeated rows stay."""
-    signals = _signals(docs, text_col, lang_col)
-    # not a filter on the verdict: Catalyst would put the verdict's whole expression, each signal
-    # written out wherever it is used, below the projections that compute signals once
-    good = signals.select(F.explode_outer(F.when(F.col("kept"), F.array("doc"))).alias("doc"))
-    return good.filter(F.col("doc").isNotNull()).select(*fields(docs))
+    return _signals(docs, text_col, lang_col).filter("kept").select(*fields(docs))
