@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO_WIDTH = "[​‌‍﻿]"
 
 
+#: Any white space of Unicode.
+SPACES = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
+def _normal_forms(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form, in Arrow batches; a text that is in it already passes as it is."""
+    return F.pandas_udf(_normal_forms, "string")(text)
+
+
 def clean_text(text: Column) -> Column:
-    """Drops zero-width characters, one space for runs of spaces and tabs, at most two newlines, strips."""
-    out = F.regexp_replace(text, ZERO_WIDTH, "")
+    """NFKC, no zero-width characters, one space for runs of spaces and tabs, at most two newlines, stripped."""
+    out = F.regexp_replace(nfkc(text), ZERO_WIDTH, "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(out, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
 
 
+def normal_query(text: Column) -> Column:
+    """One space for runs of any white space, stripped; null for what is empty then."""
+    out = F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.when(out != "", out)
+
+
 def words(text: Column) -> Column:
     """Words between white space."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r]+"), "")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import clean_text, fingerprint_chain, words
 
-TOC_LINE = r"\.{3,} ?[0-9]+"
+# An entry of a table of contents, and the stages in order.
+TOC_LINE = r"\.{3,}\s*[0-9]+"
 STAGES = ("extract", "clean", "chunk", "embed", "index")
 
 
@@ -30,7 +31,7 @@ def toc_documents(items: DataFrame) -> DataFrame:
     entries = entries.withColumn("jump", F.when(F.col("item") - F.lag("item").over(by) <= 5, 0).otherwise(1))
     entries = entries.withColumn("cluster", F.sum("jump").over(by))
     sizes = entries.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_toc"), F.max("n").alias("longest"))
-    pages = entries.select("doc_id", "item", F.posexplode(F.regexp_extract_all("text", F.lit(r"\.{3,} ?([0-9]+)"), 1)).alias("k", "page"))
+    pages = entries.select("doc_id", "item", F.posexplode(F.regexp_extract_all("text", F.lit(r"\.{3,}\s*([0-9]+)"), 1)).alias("k", "page"))
     after = Window.partitionBy("doc_id").orderBy("item", "k")
     pages = pages.withColumn("page", F.col("page").cast("bigint")).withColumn("before", F.lag("page").over(after))
     rises = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.avg(F.when(F.col("before").isNotNull(), (F.col("page") >= F.col("before")).cast("int"))).alias("ascending"))
@@ -48,7 +49,7 @@ def prune_toc(items: DataFrame) -> DataFrame:
 def cleaning_stats(items: DataFrame) -> DataFrame:
     """Per document: text_items (after pruning), changed, empty, toc_detected, toc_items_found, pruned."""
     marked = clean_items(items).withColumn("entry", F.col("clean").rlike(TOC_LINE).cast("int"))
-    toc = toc_documents(items.withColumn("text", clean_text(F.col("text")))).select("doc_id", "is_toc")
+    toc = toc_documents(marked.filter("entry = 1").select("doc_id", "item", F.col("clean").alias("text"))).select("doc_id", "is_toc")
     by_doc = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"), F.count_if("empty").alias("empty"), F.sum("entry").alias("toc_items_found"))
     out = by_doc.join(toc, "doc_id", "left_outer").withColumn("toc_detected", F.coalesce("is_toc", F.lit(False)))
     pruned = F.when(F.col("toc_detected"), F.col("toc_items_found")).otherwise(F.lit(0).cast("bigint"))

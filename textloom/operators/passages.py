@@ -11,7 +11,7 @@ from textloom.functions.text import page_label
 def runs(members: DataFrame, window: int) -> DataFrame:
     """Gaps and islands: query_id, document_id, lo, hi, score, tokens, chunks (array) of each run.
 
-    members: query_id, document_id, chunk_index, chunk_id, tokens, relevance (null for neighbours),
+    members: query_id, document_id, chunk_index, chunk_id, tokens, page_number, section, relevance (null for neighbours),
     order (position in the selection, null for neighbours). A run's score is the largest relevance
     of the selected chunks whose window reaches into it.
     """
@@ -27,13 +27,14 @@ def runs(members: DataFrame, window: int) -> DataFrame:
         F.max("near").alias("score"),
         F.sum("tokens").alias("tokens"),
         F.min("doc_first").alias("doc_first"),
-        F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "tokens"))).alias("chunks"),
+        F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "tokens", "page_number", "section"))).alias("chunks"),
     )
 
 
 def budgeted(found: DataFrame, max_tokens: int) -> DataFrame:
     """Passages in order of score that fit the budget: a run that would exceed it is skipped, but the first
-    of all is cut to its first chunk. query_id, citation, document_id, lo, hi, score, tokens, chunk_ids."""
+    of all is cut to its first chunk. query_id, citation, document_id, lo, hi, score, tokens, chunk_ids, and of these chunks
+    page_start and page_end (nulls left out) and section, the first that isn't empty."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "doc_first", "lo", "hi", "document_id", "tokens", "chunks")))
     step = lambda a, x: F.when((F.size(a["taken"]) > 0) & (a["used"] + x["tokens"] > max_tokens), a).otherwise(
         F.struct(
@@ -47,17 +48,18 @@ def budgeted(found: DataFrame, max_tokens: int) -> DataFrame:
                         F.when(a["used"] + x["tokens"] > max_tokens, x["lo"]).otherwise(x["hi"]).alias("hi"),
                         (-x["minus"]).alias("score"),
                         F.when(a["used"] + x["tokens"] > max_tokens, x["chunks"][0]["tokens"]).otherwise(x["tokens"]).cast("bigint").alias("tokens"),
-                        F.when(a["used"] + x["tokens"] > max_tokens, F.slice(x["chunks"]["chunk_id"], 1, 1)).otherwise(x["chunks"]["chunk_id"]).alias("chunk_ids"),
+                        F.when(a["used"] + x["tokens"] > max_tokens, F.slice(x["chunks"], 1, 1)).otherwise(x["chunks"]).alias("chunks"),
                     )
                 ),
             ).alias("taken"),
         )
     )
     types = dict(found.dtypes)
-    empty = F.array().cast(f"array<struct<document_id:{types['document_id']},lo:{types['lo']},hi:{types['hi']},score:double,tokens:bigint,chunk_ids:array<bigint>>>")
+    empty = F.array().cast(f"array<struct<document_id:{types['document_id']},lo:{types['lo']},hi:{types['hi']},score:double,tokens:bigint,chunks:{types['chunks']}>>")
     folded = found.groupBy("query_id").agg(ordered.alias("runs")).select("query_id", F.aggregate("runs", F.struct(F.lit(0).cast("bigint").alias("used"), empty.alias("taken")), step, lambda a: a["taken"]).alias("taken"))
-    out = folded.select("query_id", F.posexplode("taken").alias("k", "p"))
-    return out.select("query_id", (F.col("k") + 1).alias("citation"), "p.*")
+    out = folded.select("query_id", F.posexplode("taken").alias("k", "p")).select("query_id", (F.col("k") + 1).alias("citation"), "p.*")
+    pages, sections = F.col("chunks.page_number"), F.filter("chunks.section", lambda x: F.coalesce(x, F.lit("")) != "")
+    return out.select("query_id", "citation", "document_id", "lo", "hi", "score", "tokens", F.col("chunks.chunk_id").alias("chunk_ids"), F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), F.get(sections, F.lit(0)).alias("section"))
 
 
 def render(passages: DataFrame) -> DataFrame:

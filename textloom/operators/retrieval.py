@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import lexemes
 
-#: Queries of one vector search; more are refused, as they go to every executor as one matrix.
-MOST_QUERIES = 10_000
+#: Queries of one pass over the chunks; more make more passes, as a pass's queries go to every executor as one matrix.
+BLOCK_QUERIES = 4096
+#: Bytes of a block's lexemes up to which they are broadcast (a text's bytes, times four).
+BROADCAST_BYTES = 64 << 20
+#: Queries and chunks of one product, so that a task holds BLOCK x TILE scores at most.
+TILE = 256
 
 
 def scope(chunks: DataFrame, documents: DataFrame, user_id=None, document_ids=None) -> DataFrame:
-    """Chunks of indexed documents, of one owner and from an allow-list where these are given."""
+    """Chunks of indexed documents, with their owner; of one owner and from an allow-list where these are given."""
     docs = documents.filter(F.col("status") == "indexed")
     if user_id is not None:
         docs = docs.filter(F.col("user_id") == user_id)
     if document_ids:
         docs = docs.filter(F.col("document_id").isin(list(document_ids)))
-    return chunks.join(docs.select("document_id"), "document_id", "left_semi")
+    own = docs.select("document_id", F.col("user_id").alias("_owner"))
+    return chunks.drop("user_id").join(own, "document_id").withColumnRenamed("_owner", "user_id")
 
 
 def validate_scope(requested: DataFrame, documents: DataFrame) -> DataFrame:
@@ -34,39 +39,82 @@ def validate_scope(requested: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("user_id", "document_id", verdict.alias("verdict"))
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of about BLOCK_QUERIES, by a hash of their id."""
+    n = -(-queries.count() // BLOCK_QUERIES)
+    return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
+def _best(sims: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties by chunk id; what ties with the k-th is looked at before it is cut."""
+    if sims.shape[1] > 4 * k:
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        wide = max(k, int((sims >= least).sum(axis=1).max()))
+        at = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
+        sims, chunk = np.take_along_axis(sims, at, 1), np.take_along_axis(chunk, at, 1)
+    order = np.lexsort((chunk, -sims), axis=1)[:, :k]
+    return np.take_along_axis(sims, order, 1), np.take_along_axis(chunk, order, 1)
+
+
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, owned: bool = False) -> DataFrame:
     """query_id, chunk_id, score (cosine), rank: the k nearest chunks, ties by chunk_id.
 
-    The query vectors (at most MOST_QUERIES) are one matrix on each executor; a batch of chunks is one
-    product, and only its k best per query leave the task.
+    The queries of a block (BLOCK_QUERIES at most, about) are one matrix on each executor; a task multiplies
+    tiles of it with tiles of its chunks, and only its k best per query leave it. Vectors of another length
+    than the queries' are an error. With ``owned``, a query meets the chunks of its user_id only, and of its
+    document_ids where it has such a list.
     """
-    rows = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
-    ids = [r.query_id for r in rows]
-    matrix = np.array([r.embedding for r in rows], np.float64).reshape(len(ids), -1)
+    found = None
+    for block in query_blocks(queries):
+        part = _vector_block(block, chunks, k, owned)
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, k)
+
+
+def _vector_block(queries: DataFrame, chunks: DataFrame, k: int, owned: bool) -> DataFrame:
+    lists = owned and "document_ids" in queries.columns
+    rows = queries.select("query_id", "embedding", *["user_id"] * owned, *["document_ids"] * lists).filter(F.col("embedding").isNotNull()).collect()
+    ids = np.array([r.query_id for r in rows], np.int64)
+    sizes = {len(r.embedding) for r in rows}
+    if len(sizes) > 1:
+        raise ValueError(f"query vectors of different lengths: {sorted(sizes)}")
+    dimension = sizes.pop() if sizes else 0
+    matrix = np.array([r.embedding for r in rows], np.float64).reshape(len(ids), dimension)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-12
-    held = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    users = np.array([r.user_id for r in rows], object) if owned else None
+    allowed = [set(r.document_ids) if r.document_ids else None for r in rows] if lists else []
+    held = queries.sparkSession.sparkContext.broadcast((ids, matrix, users, allowed))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = held.value
-        kept = None
+        ids, q, users, allowed = held.value
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not batch.num_rows or not ids:
+            if not batch.num_rows or not len(ids):
                 continue
-            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            sims = q @ (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12)).T
-            chunk = np.broadcast_to(batch.column("chunk_id").to_numpy(zero_copy_only=False), sims.shape)
-            if kept is not None:
-                sims, chunk = np.hstack([kept[0], sims]), np.hstack([kept[1], chunk])
-            order = np.lexsort((chunk, -sims), axis=1)[:, :k]
-            kept = np.take_along_axis(sims, order, 1), np.take_along_axis(chunk, order, 1)
-        if kept is not None:
-            n = kept[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids), n)), pa.array(kept[1].reshape(-1)), pa.array(kept[0].reshape(-1))], names=["query_id", "chunk_id", "score"])
-
-    near = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInArrow(best, "query_id bigint, chunk_id bigint, score double")
-    return _ranked(near, k)
+            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dimension)
+            vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12
+            names = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            owners = np.array(batch.column("user_id").to_pylist(), object) if owned else None
+            documents = batch.column("document_id").to_pylist() if lists else None
+            for at in range(0, len(ids), TILE):
+                sims = q[at : at + TILE] @ vectors.T
+                if owned:
+                    sims[users[at : at + TILE, None] != owners[None, :]] = -np.inf
+                for n, only in enumerate(allowed[at : at + TILE]):
+                    if only is not None:
+                        sims[n, [d not in only for d in documents]] = -np.inf
+                chunk = np.broadcast_to(names, sims.shape)
+                if at in kept:
+                    sims, chunk = np.hstack([kept[at][0], sims]), np.hstack([kept[at][1], chunk])
+                kept[at] = _best(sims, chunk, k)
+        for at, (sims, chunk) in kept.items():
+            real = sims > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[at : at + TILE, None], sims.shape)[real]), pa.array(chunk[real]), pa.array(sims[real])], names=["query_id", "chunk_id", "score"])
+
+    size = F.size("embedding")
+    checked = F.when(size == dimension, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"a vector isn't of {dimension} numbers but "), size.cast("string")))) if dimension else F.col("embedding")
+    columns = ["chunk_id", checked.alias("embedding"), *["user_id"] * owned, *["document_id"] * lists]
+    return chunks.filter(F.col("embedding").isNotNull()).select(*columns).mapInArrow(best, "query_id bigint, chunk_id bigint, score double")
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -79,16 +127,26 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(lexemes(F.col("text"))).alias("lexeme")).groupBy("lexeme", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, owned: bool = False) -> DataFrame:
     """query_id, chunk_id, score n / (n + 10) of n occurrences of query lexemes, rank; ties by chunk_id.
 
-    The lexemes of the queries (bounded like MOST_QUERIES) filter occurrences in the scan's stage, before any shuffle.
+    The lexemes of a block of queries filter occurrences in the scan's stage, and are counted there, before
+    any shuffle; they are broadcast up to BROADCAST_BYTES. With ``owned`` as in vector_topk.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("text")))).alias("lexeme"))
-    words = chunks.select("chunk_id", F.explode(lexemes(F.col("text"))).alias("lexeme"))
-    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    hits = words.join(F.broadcast(terms) if few else terms, "lexeme").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    return _ranked(hits.select("query_id", "chunk_id", (F.col("n") / (F.col("n") + 10.0)).alias("score")), k)
+    lists = owned and "document_ids" in queries.columns
+    found = None
+    for block in query_blocks(queries):
+        terms = block.select("query_id", F.explode(F.array_distinct(lexemes(F.col("text")))).alias("lexeme"), *[F.col("user_id").alias("asker")] * owned, *["document_ids"] * lists)
+        words = chunks.select("chunk_id", F.explode(lexemes(F.col("text"))).alias("lexeme"), *["user_id"] * owned, *["document_id"] * lists)
+        size = block.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * 4
+        hits = words.join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "lexeme")
+        if owned:
+            hits = hits.filter("user_id = asker")
+        if lists:
+            hits = hits.filter("document_ids is null or size(document_ids) = 0 or array_contains(document_ids, document_id)")
+        part = hits.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found.select("query_id", "chunk_id", (F.col("n") / (F.col("n") + 10.0)).alias("score")), k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 60, vector_weight: float = 1.0, keyword_weight: float = 1.0) -> DataFrame:
@@ -119,7 +177,7 @@ def lexical_scores(pairs: DataFrame) -> DataFrame:
 
 
 def mmr(pool: DataFrame, k: int, lambda_: float) -> DataFrame:
-    """Maximal marginal relevance: query_id, chunk_id, pick (1..k) from a pool with position, relevance, embedding.
+    """Maximal marginal relevance: query_id, chunk_id, pick (1..k), relevance from a pool with position, relevance, embedding.
 
     Pools are small (retrieval cuts them to rerank_candidates), so a query is one group. Equal values
     go to the earlier position; rows without an embedding come last in their order.
@@ -146,9 +204,9 @@ def mmr(pool: DataFrame, k: int, lambda_: float) -> DataFrame:
                     chosen.append(has[j])
                     near = np.maximum(near, x @ x[j])
             chosen = (chosen + [i for i in range(len(group)) if i not in set(has)])[:k]
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "chunk_id": group["chunk_id"].iloc[chosen].to_numpy(), "pick": np.arange(1, len(chosen) + 1)})
+        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "chunk_id": group["chunk_id"].iloc[chosen].to_numpy(), "pick": np.arange(1, len(chosen) + 1), "relevance": group["relevance"].iloc[chosen].to_numpy()})
 
-    return pool.select("query_id", "chunk_id", "position", "relevance", "embedding").groupBy("query_id").applyInPandas(pick, "query_id bigint, chunk_id bigint, pick int")
+    return pool.select("query_id", "chunk_id", "position", "relevance", "embedding").groupBy("query_id").applyInPandas(pick, "query_id bigint, chunk_id bigint, pick int, relevance double")
 
 
 def neighbours(selected: DataFrame, chunks: DataFrame, window: int) -> DataFrame:

@@ -21,11 +21,12 @@ SQL: dict[str, str] = {}
 DOCS = """docs AS (SELECT d.doc_id AS document_id, d.source AS user_id, sha256(d.text) AS content_hash, d.n_chars AS size_bytes,
   CASE WHEN l.quality = 1 THEN 'indexed' WHEN l.quality = 0 THEN 'failed' WHEN d.doc_id % 2 = 0 THEN 'pending' ELSE 'processing' END AS status, d.text
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
-CHUNKS = r"""chunks AS (SELECT e.vec_id AS chunk_id, CAST(e.label AS BIGINT) AS document_id, row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) - 1 AS chunk_index,
-  CAST(e.embedding AS DOUBLE[]) AS embedding, d.text, len(regexp_extract_all(d.text, '[^ \t\n\r]+')) AS token_count
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)),
-q AS (SELECT chunk_id AS query_id, embedding, document_id AS label, array_to_string(regexp_extract_all(text, '[^ \t\n\r]+')[1:8], ' ') AS text FROM chunks WHERE chunk_id < 20),
-corpus AS (SELECT * FROM chunks WHERE chunk_id >= 20)"""
+CHUNKS = r"""chunks AS (SELECT e.vec_id AS chunk_id, e.vec_id // 8 AS document_id, CAST(e.vec_id % 8 AS INT) AS chunk_index,
+  CAST(e.embedding AS DOUBLE[]) AS embedding, d.text, coalesce(len(regexp_extract_all(d.text, '[^ \t\n\r]+')), 0) AS token_count,
+  CASE WHEN e.vec_id % 5 <> 0 THEN CAST(e.vec_id % 8 // 2 + 1 AS INT) END AS page_number, CASE WHEN e.vec_id % 3 <> 0 THEN 'Part ' || (e.vec_id % 8 // 4) END AS section
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
+q AS (SELECT chunk_id AS query_id, embedding, document_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS text FROM chunks WHERE chunk_id % 100 = 0),
+corpus AS (SELECT * FROM chunks)"""
 VECTOR = """vector AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT q.query_id, c.chunk_id, list_cosine_similarity(q.embedding, c.embedding) AS score FROM q, corpus c)) WHERE rank <= 50)"""
 KEYWORD = r"""terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lexeme FROM q),
@@ -37,15 +38,22 @@ FUSED = """fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
          coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0) AS fused
   FROM vector v FULL JOIN keyword k ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id))"""
 SEARCH = ", ".join([CHUNKS, VECTOR, KEYWORD, FUSED])
+STAGE_NAMES = ("vector", "keyword", "fused", "rerank_input", "post_rerank", "selected", "expanded")
+EXPANDED = """sel AS (SELECT p.query_id, p.chunk_id, p.pick, p.relevance, c.document_id, c.chunk_index FROM picked p JOIN chunks c USING (chunk_id)),
+want AS (SELECT DISTINCT query_id, document_id, chunk_index + o AS chunk_index FROM sel, (SELECT unnest([-1, 0, 1]) AS o)),
+expanded AS (SELECT w.query_id, c.chunk_id, c.document_id, c.chunk_index, s.pick, s.relevance, c.token_count, c.text, c.page_number, c.section
+  FROM want w JOIN chunks c ON c.document_id = w.document_id AND c.chunk_index = w.chunk_index LEFT JOIN sel s ON s.query_id = w.query_id AND s.chunk_id = c.chunk_id)"""
 STAGES = """stages AS (SELECT query_id AS case_id, 'vector' AS stage, rank, chunk_id FROM vector UNION ALL SELECT query_id, 'keyword', rank, chunk_id FROM keyword
-  UNION ALL SELECT query_id, 'fused', fused_rank, chunk_id FROM fused),
-gold AS (SELECT q.query_id AS case_id, c.chunk_id FROM q JOIN corpus c ON c.document_id = q.label),
+  UNION ALL SELECT query_id, 'fused', fused_rank, chunk_id FROM fused UNION ALL SELECT query_id, 'rerank_input', fused_rank, chunk_id FROM fused WHERE fused_rank <= 30
+  UNION ALL SELECT query_id, 'post_rerank', fused_rank, chunk_id FROM fused WHERE fused_rank <= 30 UNION ALL SELECT query_id, 'selected', pick, chunk_id FROM picked
+  UNION ALL SELECT query_id, 'expanded', row_number() OVER (PARTITION BY query_id ORDER BY pick ASC NULLS LAST, document_id, chunk_index), chunk_id FROM expanded),
+gold AS (SELECT q.query_id AS case_id, c.chunk_id FROM q JOIN corpus c USING (document_id)),
 sizes AS (SELECT case_id, count(*) AS n_gold FROM gold GROUP BY 1),
 metrics AS (SELECT case_id, stage, k, CAST(hits > 0 AS DOUBLE) AS hit, hits / k AS precision, dhits / n_gold AS recall, coalesce(1 / first, 0) AS mrr,
    dcg / list_sum(list_transform(range(1, least(n_gold, k) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
   FROM (SELECT s.case_id, s.stage, k, count(*) FILTER (g.chunk_id IS NOT NULL AND rank <= k) AS hits, count(DISTINCT s.chunk_id) FILTER (g.chunk_id IS NOT NULL AND rank <= k) AS dhits,
         min(rank) FILTER (g.chunk_id IS NOT NULL AND rank <= k) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (g.chunk_id IS NOT NULL AND rank <= k), 0) AS dcg
-      FROM stages s LEFT JOIN gold g ON g.case_id = s.case_id AND g.chunk_id = s.chunk_id, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY ALL) JOIN sizes USING (case_id))"""
+      FROM stages s LEFT JOIN gold g ON g.case_id = s.case_id AND g.chunk_id = s.chunk_id, (SELECT unnest([1, 3, 5, 10, 20]) AS k) GROUP BY ALL) JOIN sizes USING (case_id))"""
 JOBS = """jobs AS (SELECT event_id AS job_id, user_id AS document_id, CASE event_type WHEN 'signup' THEN 'extract' WHEN 'view' THEN 'clean' WHEN 'click' THEN 'chunk' WHEN 'purchase' THEN 'embed' ELSE 'index' END AS stage,
   ['queued', 'running', 'done', 'failed'][event_id % 4 + 1] AS status, ts AS created_at, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 1 MINUTE END AS started_at,
   CASE WHEN event_id % 4 >= 2 THEN ts + INTERVAL 1 MINUTE + to_seconds(CAST(floor(value) AS BIGINT)) END AS finished_at, props AS details FROM events)"""
@@ -56,15 +64,27 @@ TOC = r"""dirty AS (SELECT doc_id, list_concat(CASE doc_id % 4 WHEN 0 THEN list_
     list_transform(string_split(text, chr(10)), lambda x: '  ' || x || chr(9) || chr(8203) || ' ')) AS lines FROM documents),
 items AS (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS item FROM dirty),
 entries AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id ORDER BY item) AS cluster FROM (
-  SELECT *, CASE WHEN item - lag(item) OVER (PARTITION BY doc_id ORDER BY item) <= 5 THEN 0 ELSE 1 END AS jump FROM items WHERE regexp_matches(text, '\.{3,} ?[0-9]+'))),
+  SELECT *, CASE WHEN item - lag(item) OVER (PARTITION BY doc_id ORDER BY item) <= 5 THEN 0 ELSE 1 END AS jump FROM items WHERE regexp_matches(text, '\.{3,}\s*[0-9]+'))),
 sizes AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_toc, max(n) AS longest FROM (SELECT doc_id, cluster, count(*) AS n FROM entries GROUP BY ALL) GROUP BY 1),
-nums AS (SELECT doc_id, item, unnest(regexp_extract_all(text, '\.{3,} ?([0-9]+)', 1)) AS page, generate_subscripts(regexp_extract_all(text, '\.{3,} ?([0-9]+)', 1), 1) AS k FROM entries),
+nums AS (SELECT doc_id, item, unnest(regexp_extract_all(text, '\.{3,}\s*([0-9]+)', 1)) AS page, generate_subscripts(regexp_extract_all(text, '\.{3,}\s*([0-9]+)', 1), 1) AS k FROM entries),
 rises AS (SELECT doc_id, count(*) AS n_pages, avg(CASE WHEN before IS NOT NULL THEN CAST(CAST(page AS BIGINT) >= CAST(before AS BIGINT) AS INT) END) AS ascending
   FROM (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY item, k) AS before FROM nums) GROUP BY 1),
 toc AS (SELECT doc_id, n_toc, longest, ascending, n_toc >= 5 AND longest >= 5 AND n_pages >= 2 AND ascending > 0.8 AS is_toc FROM sizes JOIN rises USING (doc_id))"""
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[' || chr(8203) || chr(8204) || chr(8205) || chr(65279) || ']', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
 
 
+MMR = """pool AS (SELECT f.query_id, f.chunk_id, fused_rank AS position, fused AS relevance, c.embedding,
+    CASE WHEN max(fused) OVER w > min(fused) OVER w THEN (fused - min(fused) OVER w) / (max(fused) OVER w - min(fused) OVER w) ELSE 1 END AS rel
+  FROM fused f JOIN chunks c USING (chunk_id) WHERE fused_rank <= 30 WINDOW w AS (PARTITION BY f.query_id)),
+mmr AS (
+  SELECT *, CAST(0 AS DOUBLE) AS near, 0 AS pick, 0 AS step FROM pool
+  UNION ALL
+  SELECT query_id, chunk_id, position, relevance, embedding, rel, greatest(near, list_cosine_similarity(embedding, best)), CASE WHEN position = spot THEN step + 1 ELSE pick END, step + 1
+  FROM (SELECT *, first_value(embedding) OVER v AS best, first_value(position) OVER v AS spot FROM mmr WHERE step < 8
+        WINDOW v AS (PARTITION BY query_id ORDER BY pick > 0, 0.7 * rel - 0.3 * near DESC, position))),
+picked AS (SELECT query_id, chunk_id, pick, relevance FROM mmr WHERE step = 8 AND pick > 0)"""
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -76,7 +96,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return src.query_batch(spark, d), src.corpus(spark, d)
+    return src.query_batch(spark, d), src.vector_chunks(spark, d)
 
 
 # retrieval
@@ -110,7 +130,7 @@ def rerank_threshold(spark, d):
     return out.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "final_rank")
 
 
-@query()
+@query(f"WITH RECURSIVE {SEARCH}, {MMR} SELECT query_id, chunk_id, pick FROM picked")
 def mmr_selection(spark, d):
     return HybridRetriever().selected(*_search(spark, d)).select("query_id", "chunk_id", "pick")
 
@@ -137,10 +157,10 @@ SELECT query_id, document_id, min(chunk_index) AS lo, max(chunk_index) AS hi, ro
 )
 def passage_runs(spark, d):
     q, c = _search(spark, d)
-    light = c.select("chunk_id", "document_id", "chunk_index", F.col("token_count").alias("tokens"))
+    light = c.select("chunk_id", "document_id", "chunk_index", "page_number", "section", F.col("token_count").alias("tokens"))
     sel = HybridRetriever().fused(q, c).filter("fused_rank <= 8").join(light, "chunk_id")
-    sel = sel.select("query_id", "document_id", "chunk_index", "chunk_id", "tokens", F.col("fused").alias("relevance"), F.col("fused_rank").alias("order"))
-    near = retrieval.neighbours(sel, light, 1).select("query_id", "document_id", "chunk_index", "chunk_id", "tokens", F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("int").alias("order"))
+    sel = sel.select("query_id", "document_id", "chunk_index", "chunk_id", "tokens", "page_number", "section", F.col("fused").alias("relevance"), F.col("fused_rank").alias("order"))
+    near = retrieval.neighbours(sel, light, 1).select("query_id", "document_id", "chunk_index", "chunk_id", "tokens", "page_number", "section", F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("int").alias("order"))
     out = passages.runs(sel.unionByName(near), 1)
     return out.select("query_id", "document_id", "lo", "hi", F.round("score", 9).alias("score"), "tokens", F.size("chunks").cast("bigint").alias("n_chunks"))
 
@@ -174,11 +194,11 @@ def scoped_documents(spark, d):
     return retrieval.scope(docs, docs).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("n_bytes"))
 
 
-@query(f"WITH {SEARCH} SELECT query_id, (SELECT count(*) FROM vector v WHERE v.query_id = q.query_id) AS n_vector, (SELECT count(*) FROM keyword k WHERE k.query_id = q.query_id) AS n_keyword, (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id) AS n_fused FROM q")
+@query(f"WITH RECURSIVE {SEARCH}, {MMR}, {EXPANDED}, {STAGES} SELECT query_id, {', '.join(f'(SELECT count(*) FROM stages s WHERE s.case_id = q.query_id AND stage = {chr(39)}{x}{chr(39)}) AS n_{x}' for x in STAGE_NAMES)} FROM q")
 def stage_counts(spark, d):
-    s = HybridRetriever().stages(*_search(spark, d)).groupBy("case_id").pivot("stage", ["vector", "keyword", "fused"]).count()
+    s = HybridRetriever().stages(*_search(spark, d)).groupBy("case_id").pivot("stage", list(STAGE_NAMES)).count()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return s.select(F.col("case_id").alias("query_id"), zero("vector").alias("n_vector"), zero("keyword").alias("n_keyword"), zero("fused").alias("n_fused"))
+    return s.select(F.col("case_id").alias("query_id"), *[zero(x).alias(f"n_{x}") for x in STAGE_NAMES])
 
 
 @query("SELECT lexeme, count(*) AS n_documents, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, lexeme, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS lexeme FROM documents) GROUP BY ALL) GROUP BY 1")
@@ -190,18 +210,18 @@ def posting_totals(spark, d):
 # evaluation
 
 
-@query(f"WITH {SEARCH}, {STAGES} SELECT case_id, stage, k, hit, round(precision, 9) AS precision, round(recall, 9) AS recall, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM metrics")
+@query(f"WITH RECURSIVE {SEARCH}, {MMR}, {EXPANDED}, {STAGES} SELECT case_id, stage, k, hit, round(precision, 9) AS precision, round(recall, 9) AS recall, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM metrics")
 def rank_metrics(spark, d):
     m = metrics.rank_metrics(HybridRetriever().stages(*_search(spark, d)), src.gold(spark, d))
     return m.select("case_id", "stage", "k", "hit", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
-@query(f"WITH {SEARCH}, {STAGES}, long AS (SELECT * FROM (SELECT stage, k, unnest(['hit', 'precision', 'recall', 'mrr', 'ndcg']) AS metric, unnest([hit, precision, recall, mrr, ndcg]) AS value FROM metrics)) SELECT stage, metric, k, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(min(value), 4) AS least, round(max(value), 4) AS most, count(*) AS n FROM long GROUP BY ALL")
+@query(f"WITH RECURSIVE {SEARCH}, {MMR}, {EXPANDED}, {STAGES}, long AS (SELECT * FROM (SELECT stage, k, unnest(['hit', 'precision', 'recall', 'mrr', 'ndcg']) AS metric, unnest([hit, precision, recall, mrr, ndcg]) AS value FROM metrics)) SELECT stage, metric, k, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(min(value), 4) AS least, round(max(value), 4) AS most, count(*) AS n FROM long GROUP BY ALL")
 def metric_summary(spark, d):
     return metrics.aggregate_metrics(metrics.rank_metrics(HybridRetriever().stages(*_search(spark, d)), src.gold(spark, d)))
 
 
-@query(f"WITH {SEARCH}, {STAGES}, means AS (SELECT stage, k, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr FROM metrics GROUP BY ALL) SELECT m.metric, v.k, round(m.f - m.v, 4) AS lift FROM means v JOIN means f ON f.k = v.k, LATERAL (SELECT unnest(['hit', 'recall', 'mrr']) AS metric, unnest([v.hit, v.recall, v.mrr]) AS v, unnest([f.hit, f.recall, f.mrr]) AS f) m WHERE v.stage = 'vector' AND f.stage = 'fused'")
+@query(f"WITH RECURSIVE {SEARCH}, {MMR}, {EXPANDED}, {STAGES}, means AS (SELECT stage, k, round(avg(hit), 4) AS hit, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr FROM metrics GROUP BY ALL) SELECT m.metric, v.k, round(m.f - m.v, 4) AS lift FROM means v JOIN means f ON f.k = v.k, LATERAL (SELECT unnest(['hit', 'recall', 'mrr']) AS metric, unnest([v.hit, v.recall, v.mrr]) AS v, unnest([f.hit, f.recall, f.mrr]) AS f) m WHERE v.stage = 'vector' AND f.stage = 'fused'")
 def fusion_lift(spark, d):
     m = metrics.aggregate_metrics(metrics.rank_metrics(HybridRetriever().stages(*_search(spark, d)), src.gold(spark, d)))
     return metrics.lift(m.filter(F.col("metric").isin("hit", "recall", "mrr")), "vector", "fused")
@@ -235,15 +255,15 @@ def toc_documents(spark, d):
     return ingest.toc_documents(src.toc_items(spark, d)).withColumn("ascending", F.round("ascending", 9))
 
 
-@query(rf"WITH {TOC} SELECT doc_id, count(*) AS n FROM items i WHERE NOT (regexp_matches(text, '\.{{3,}} ?[0-9]+') AND doc_id IN (SELECT doc_id FROM toc WHERE is_toc)) GROUP BY 1")
+@query(rf"WITH {TOC} SELECT doc_id, count(*) AS n FROM items i WHERE NOT (regexp_matches(text, '\.{{3,}}\s*[0-9]+') AND doc_id IN (SELECT doc_id FROM toc WHERE is_toc)) GROUP BY 1")
 def pruned_items(spark, d):
     return ingest.prune_toc(src.toc_items(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     rf"""WITH {TOC}, c AS (SELECT doc_id, text, {CLEAN.format(x='text')} AS clean FROM items)
-SELECT c.doc_id, count(*) - (CASE WHEN any_value(is_toc) THEN count(*) FILTER (regexp_matches(clean, '\.{{3,}} ?[0-9]+')) ELSE 0 END) AS text_items, count(*) FILTER (clean <> text) AS changed, count(*) FILTER (clean = '') AS empty,
-  coalesce(any_value(is_toc), false) AS toc_detected, count(*) FILTER (regexp_matches(clean, '\.{{3,}} ?[0-9]+')) AS toc_items_found, CASE WHEN any_value(is_toc) THEN count(*) FILTER (regexp_matches(clean, '\.{{3,}} ?[0-9]+')) ELSE 0 END AS pruned
+SELECT c.doc_id, count(*) - (CASE WHEN any_value(is_toc) THEN count(*) FILTER (regexp_matches(clean, '\.{{3,}}\s*[0-9]+')) ELSE 0 END) AS text_items, count(*) FILTER (clean <> text) AS changed, count(*) FILTER (clean = '') AS empty,
+  coalesce(any_value(is_toc), false) AS toc_detected, count(*) FILTER (regexp_matches(clean, '\.{{3,}}\s*[0-9]+')) AS toc_items_found, CASE WHEN any_value(is_toc) THEN count(*) FILTER (regexp_matches(clean, '\.{{3,}}\s*[0-9]+')) ELSE 0 END AS pruned
 FROM c LEFT JOIN toc ON toc.doc_id = c.doc_id GROUP BY c.doc_id"""
 )
 def cleaning_stats(spark, d):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import words
+from textloom.functions.text import normal_query, words
 
-#: Queries of the batch: the first vectors.
-N_QUERIES = 20
+#: Chunks of a document; of the vectors, every one whose id this divides is a query.
+CHUNKS_OF_DOCUMENT = 8
+QUERY_EVERY = 100
 #: The clock of staleness predicates.
 NOW = "2024-01-30 12:00:00"
 
@@ -27,30 +28,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, document_id, chunk_index, embedding, text, token_count: vectors are chunks, labels their documents."""
+    """chunk_id, document_id, chunk_index, embedding, text, token_count, page_number, section: every vector is a chunk, with the text of its id."""
     v, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    n = d.count()
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    c = v.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("document_id"), at.alias("chunk_index"), "embedding", (F.col("vec_id") % n).alias("doc_id"))
-    c = c.join(d.select("doc_id", "text"), "doc_id").drop("doc_id")
-    return c.withColumn("token_count", F.size(words(F.col("text"))))
-
-
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks that queries search: all but the queries' own."""
-    return vector_chunks(spark, sf_dir).filter(F.col("chunk_id") >= N_QUERIES)
+    at = F.col("vec_id") % CHUNKS_OF_DOCUMENT
+    c = v.join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left_outer")
+    return c.select(
+        F.col("vec_id").alias("chunk_id"),
+        F.floor(F.col("vec_id") / CHUNKS_OF_DOCUMENT).cast("bigint").alias("document_id"),
+        at.cast("int").alias("chunk_index"),
+        "embedding",
+        "text",
+        F.size(words(F.col("text"))).alias("token_count"),
+        F.when(F.col("vec_id") % 5 != 0, F.floor(at / 2).cast("int") + 1).alias("page_number"),
+        F.when(F.col("vec_id") % 3 != 0, F.concat(F.lit("Part "), F.floor(at / 4).cast("string"))).alias("section"),
+    )
 
 
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, embedding, text (the first 8 words of its document), label."""
-    q = vector_chunks(spark, sf_dir).filter(F.col("chunk_id") < N_QUERIES)
-    return q.select(F.col("chunk_id").alias("query_id"), "embedding", F.array_join(F.slice(words(F.col("text")), 1, 8), " ").alias("text"), F.col("document_id").alias("label"))
+    """query_id, embedding, text (normalised), document_id: every chunk whose id QUERY_EVERY divides, to be searched for in all."""
+    q = vector_chunks(spark, sf_dir).filter(F.col("chunk_id") % QUERY_EVERY == 0)
+    return q.select(F.col("chunk_id").alias("query_id"), "embedding", normal_query(F.col("text")).alias("text"), "document_id")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, chunk_id: chunks with the query's label."""
-    q = query_batch(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.col("label").alias("document_id"))
-    return corpus(spark, sf_dir).select("chunk_id", "document_id").join(F.broadcast(q), "document_id").select("case_id", "chunk_id")
+    """case_id, chunk_id: the chunks of the query's document."""
+    at = lambda k: F.sequence(k * CHUNKS_OF_DOCUMENT, (k + 1) * CHUNKS_OF_DOCUMENT - 1)
+    q = query_batch(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.explode(at(F.col("document_id"))).alias("chunk_id"))
+    return q.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi").select("case_id", "chunk_id")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
