@@ -125,3 +125,121 @@ def sweep_orphans(objects: DataFrame, live_keys: DataFrame, now: str, grace_hour
     first = dead.orderBy("mtime", "key").limit(most).select("key", F.lit(True).alias("chosen"))
     gone = dead.join(first, "key", "left_outer").select("key", F.when(F.col("chosen"), "delete").otherwise("later").alias("action"))
     return kept.filter("action is not null").select("key", "action").unionByName(gone)
+
+
+# Kinds of errors that no further try mends; keys that artifacts may have; endings of the types that are stored.
+PERMANENT_ERRORS = ("PermanentError", "ObjectNotFound", "DocumentNotFound", "JobNotFound", "TypeError", "ValueError", "KeyError", "AttributeError")
+UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+USER_KEY = rf"^{UUID}/[0-9a-f]{{2}}/[0-9a-f]{{64}}\.[a-z0-9]{{1,5}}$"
+ARTIFACT_KEY = r"^_pipeline/cache/[0-9a-f]{16}/[0-9a-f]{64}/[a-z0-9_]+\.json\.gz$"
+EXTENSIONS = {"application/pdf": ".pdf", "text/html": ".html", "text/markdown": ".md", "text/csv": ".csv", "text/plain": ".txt", "text/asciidoc": ".adoc", "application/xml": ".xml"}
+
+
+def error_class(error):
+    """permanent or transient, by the name of the error."""
+    return F.when(error.isin(*PERMANENT_ERRORS), "permanent").otherwise("transient")
+
+
+def key_shape(key):
+    """user, artifact, or null for a key that is neither."""
+    return F.when(key.rlike(USER_KEY), "user").when(key.rlike(ARTIFACT_KEY), "artifact")
+
+
+def is_uuid(text):
+    return F.coalesce(F.lower(text).rlike(f"^{UUID}$"), F.lit(False))
+
+
+def extension(mime):
+    out = F.lit(".bin")
+    for name, ending in EXTENSIONS.items():
+        out = F.when(mime == name, ending).otherwise(out)
+    return out
+
+
+def ascii_metadata(text, limit: int = 200):
+    """Every character outside ASCII as a question mark, cut at ``limit``."""
+    return F.left(F.regexp_replace(text, r"[^\x00-\x7F]", "?"), F.lit(limit))
+
+
+def merged_details(details, more):
+    """Shallow merge of two JSON objects (null: empty), as a map; the right one wins. Values are strings."""
+    left, right = (F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")) for x in (details, more))
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
+
+
+def record_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
+    """job_id, n_attempts, last_error, history of running jobs: attempts (job_id, attempt, error) in order; other jobs record nothing."""
+    running = jobs.filter("status = 'running'").select("job_id")
+    g = attempts.join(running, "job_id", "left_semi").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "error"))).alias("history"))
+    return g.select("job_id", F.size("history").cast("bigint").alias("n_attempts"), F.element_at("history", -1)["error"].alias("last_error"), "history")
+
+
+def mark(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """Jobs after updates (job_id, to, at, more): running stamps started_at, done and failed finished_at; details are merged."""
+    x = jobs.join(updates, "job_id", "left_outer")
+    to = F.col("to")
+    return x.select("job_id", F.coalesce(to, "status").alias("status"), F.when(to == "running", F.col("at")).otherwise(F.col("started_at")).alias("started_at"), F.when(to.isin("done", "failed"), F.col("at")).otherwise(F.col("finished_at")).alias("finished_at"), F.when(to.isNotNull(), merged_details(F.col("details"), F.col("more"))).otherwise(merged_details(F.col("details"), F.lit(None).cast("string"))).alias("details"))
+
+
+def set_status(documents: DataFrame, updates: DataFrame) -> DataFrame:
+    """Documents (document_id, status, error, indexed_at) after updates (document_id, to, why, at): the error is overwritten, null
+    clears it; indexed stamps indexed_at. An update of no document does nothing."""
+    x = documents.join(updates, "document_id", "left_outer")
+    moved = F.col("to").isNotNull()
+    return x.select("document_id", F.coalesce("to", "status").alias("status"), F.when(moved, F.col("why")).otherwise(F.col("error")).alias("error"), F.when(F.col("to") == "indexed", F.col("at")).otherwise(F.col("indexed_at")).alias("indexed_at"))
+
+
+def set_index_results(documents: DataFrame, results: DataFrame) -> DataFrame:
+    """Documents (document_id, chunk_count, page_count, indexed_at) after results (document_id, chunks, pages, at); null pages keep the count."""
+    x = documents.join(results, "document_id", "left_outer")
+    return x.select("document_id", F.coalesce("chunks", "chunk_count").alias("chunk_count"), F.coalesce("pages", "page_count").alias("page_count"), F.coalesce("at", "indexed_at").alias("indexed_at"))
+
+
+def has_active_job(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """document_id, active."""
+    live = jobs.filter(F.col("status").isin("queued", "running")).select("document_id").distinct().withColumn("active", F.lit(True))
+    return documents.select("document_id").join(live, "document_id", "left_outer").select("document_id", F.coalesce("active", F.lit(False)).alias("active"))
+
+
+def latest_overall(jobs: DataFrame) -> DataFrame:
+    """The newest job of each document, whatever its stage."""
+    newest = F.max_by(F.struct("job_id", "stage", "status", "created_at"), F.struct("created_at", "job_id"))
+    return jobs.groupBy("document_id").agg(newest.alias("j")).select("document_id", "j.*")
+
+
+def live_keys(documents: DataFrame, configs: dict[str, str]) -> DataFrame:
+    """key: every key that a document row still needs: its source, its parsed form, and the artifacts of its content."""
+    from .ingest import artifact_keys
+
+    own = documents.select(F.explode(F.array("storage_key", "parsed_key")).alias("key"))
+    return own.unionByName(artifact_keys(documents, configs).select("key")).filter("key is not null").distinct()
+
+
+def orphans(objects: DataFrame, live: DataFrame, owners: DataFrame) -> DataFrame:
+    """key of the objects that nothing needs: no live key, and not under <user>/_pipeline/<document>/ of a live pair.
+
+    owners: user_id, document_id. A key with segments that are no UUIDs has no such pair.
+    """
+    x = objects.select("key").join(live.select("key").distinct(), "key", "left_anti")
+    parts = F.split("key", "/")
+    inside = (F.size(parts) >= 4) & (F.get(parts, F.lit(1)) == "_pipeline") & is_uuid(F.get(parts, F.lit(0))) & is_uuid(F.get(parts, F.lit(2)))
+    x = x.withColumns({"user_id": F.when(inside, F.lower(F.get(parts, F.lit(0)))), "document_id": F.when(inside, F.lower(F.get(parts, F.lit(2))))})
+    return x.join(owners.select("user_id", "document_id").distinct(), ["user_id", "document_id"], "left_anti").select("key")
+
+
+def reprocess(documents: DataFrame, requests: DataFrame, configs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, new jobs and keys to delete for requests (document_id, from_stage): the documents are pending again, their
+    first job is the stage's, and the artifacts from that stage on go."""
+    from .ingest import artifact_keys
+
+    x = documents.join(requests, "document_id", "left_outer")
+    asked = F.col("from_stage").isNotNull()
+    after = x.select("document_id", F.when(asked, "pending").otherwise(F.col("status")).alias("status"), F.when(~asked, F.col("indexed_at")).alias("indexed_at"))
+    jobs = x.filter(asked).select("document_id", F.col("from_stage").alias("stage"), F.lit("queued").alias("status"))
+    keys = artifact_keys(documents, configs).join(requests, "document_id").filter(stage_order() >= stage_order("from_stage")).select("document_id", "key")
+    return after, jobs, keys
+
+
+def processing_since(documents: DataFrame, cutoff: str) -> DataFrame:
+    """Processing documents that weren't updated since a time."""
+    return documents.filter((F.col("status") == "processing") & (F.col("updated_at") < F.lit(cutoff).cast("timestamp")))

@@ -47,3 +47,31 @@ def keyword_candidates(chunks: DataFrame, keywords: list[str], by: str, k: int =
     x = chunks.withColumn("hits", hits).filter("hits > 0")
     order = Window.partitionBy(by).orderBy(F.desc("hits"), "chunk_index")
     return x.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+
+
+def owned(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of wanted (user_id and the key) that belong to that owner."""
+    return df.join(wanted.select("user_id", key).distinct(), ["user_id", key], "left_semi")
+
+
+def only(df: DataFrame, **equal: object) -> DataFrame:
+    """Rows equal in the given columns; an argument that is None filters nothing."""
+    for name, value in equal.items():
+        if value is not None:
+            df = df.filter(F.col(name) == value)
+    return df
+
+
+def search_annotations(chunks: DataFrame, pattern: str, page: int | None = None) -> DataFrame:
+    """Chunks whose text has the pattern, ignoring case, on a page where one is given (0 is none)."""
+    return only(chunks.filter(F.contains(F.lower("text"), F.lit(pattern.lower()))), page_number=page or None)
+
+
+def point_lookup(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """id, and the row of each id, null where there is none: a filter that reaches the scan once the ids are few."""
+    return ids.select(F.col(key)).distinct().join(df, key, "left_outer")
+
+
+def listed(df: DataFrame, by: str, order: list) -> DataFrame:
+    """Rows with their place (from 1) in their group's listing."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("bigint"))
