@@ -20,28 +20,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts fail, repeated rows are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of lines; documents of which no line is left go."""
-    done = line_dedup.dedup_lines(docs)
-    return done.filter("n_removed_lines < n_lines").select(*docs.columns)
+    """Texts without later repeats of runs of lines.
+
+    Documents of which no line is left go, and so do those without a line (null or empty texts). Of repeated rows the first stays.
+    """
+    count, gone = ("n_lines", "n_removed_lines")
+    done = line_dedup.dedup_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", *["n_chars"] * ("n_chars" in docs.columns)))
+    kept = done.filter(F.col(gone) < F.col(count))
+    edited = {"text", "n_chars"}
+    return kept.select(*[F.col(c) if c in edited and c in done.columns else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class; a text without words is a class of its own."""
     return near_dup.keep_one_of_each(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; null and empty texts have none and stay, repeated rows are treated alike."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids and the text that these decode to."""
+    """The documents with their token ids and the text that these decode to; null texts have no ids and decode to ""."""
     return sentencepiece_codec.encode_decode(docs, piece_model())
 
 
@@ -53,7 +59,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", tokens),
 ]
 
-#: Signatures and byte-pair encoding have no SQL; tests/llm hold each stage against a plain version.
+#: Signatures and byte-pair encoding have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
