@@ -29,11 +29,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents of which no line is left go, and so do those without a line (null or empty texts). Of repeated rows the first stays.
     """
-    count, gone = ("n_lines", "n_removed_lines")
-    done = line_dedup.dedup_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", *["n_chars"] * ("n_chars" in docs.columns)))
-    kept = done.filter(F.col(gone) < F.col(count))
-    edited = {"text", "n_chars"}
-    return kept.select(*[F.col(c) if c in edited and c in done.columns else F.col("row").getField(c).alias(c) for c in docs.columns])
+    edited = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in edited] or [F.lit(0)]
+    done = line_dedup.dedup_lines(docs.select(F.struct(*rest).alias("rest"), *edited)).filter("n_removed_lines < n_lines")
+    return done.select(*[F.col(c) if c in edited else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
