@@ -91,7 +91,6 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, id_col: str
     found = repeated_runs(rows, text_col, line_runs(run, words), winnow, 1, run, keep_first=True, wide=True)
     joined = rows.join(found.withColumnRenamed("row", "_row"), "_row", "left_outer")
     kept = [c for c in docs.columns if c not in added]
-    joined = joined.select("doc", "ats")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -323,8 +323,8 @@ def _classes(rows: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     entries = _shared(nodes.select(F.col("first.row").alias("row"), "copies", "size", F.explode("bands").alias("bucket"))).drop("n")
     step = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(threshold)))
     held = _shared(entries.select("row", "copies", "size", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket")))
-    heft = held.groupBy("row").agg((F.sum("n") + F.first("copies")).alias("heft"))
-    buckets = stored(spark, held.select("bucket", "row", "size").join(heft, "row"))
+    heft = F.sum("n").over(Window.partitionBy("row")) + F.col("copies")  # a row has 2 * BANDS buckets at most
+    buckets = stored(spark, held.select("bucket", "row", "size", heft.alias("heft")))
     texts = base.select(F.col("_row").alias("row"), F.col("_text").alias("text"))
     joined = similar_links(spark, buckets, texts, threshold)
     node_class = nodes.select("node", "first.row", "first.rank").join(joined.withColumnRenamed("node", "row"), "row", "left_outer")

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +134,8 @@ def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors
                 yield _settled(h, np.zeros(len(h), np.int64), rank[first:last][of], row[first:last][of], at - starts[of], False)
 
     shared = _by_row(_deal(text.mapInArrow(find_anchors, SEEN), keep_first=False))
-    near = rows.join(shared.withColumnRenamed("row", "_row"), "_row").select("_row", "_rank", F.col("doc").getField(text_col).alias("text"), "ats")
+    # all columns, as a caller's join has them, so that both read one exchange
+    near = rows.join(shared.withColumnRenamed("row", "_row"), "_row")
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +143,7 @@ def repeated_runs(rows: DataFrame, text_col: str, units: Units, anchors: Anchors
             ats = batch.column("ats")
             counts = ats.value_lengths().to_numpy(zero_copy_only=False)
             flat, cum = ats.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
-            for first, last, data, offsets in ta.text_slices(batch.column("text")):
+            for first, last, data, offsets in ta.text_slices(pc.struct_field(batch.column("doc"), text_col)):
                 u, starts, lengths = units(data, offsets)
                 n = len(u)
                 at = flat[cum[first] : cum[last]] + np.repeat(starts[:-1], counts[first:last])

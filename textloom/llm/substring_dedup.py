@@ -71,7 +71,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     found = repeated_runs(rows, text_col, word_runs(window), cover_anchors(length, period, cover), length, window, keep_first=False)
     joined = rows.join(found.withColumnRenamed("row", "_row"), "_row", "left_outer")
     kept = [c for c in docs.columns if c not in added]
-    joined = joined.select("doc", "ats")
     words = re.compile(rb"[^\x20\x09-\x0D]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
