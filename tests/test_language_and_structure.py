@@ -56,11 +56,11 @@ def test_vectors_are_checked_before_they_are_written(spark):
 
 
 def test_evaluation_set_on_disk(spark, tmp_path):
-    lines = ['{"id": "a", "query": "q", "gold_chunk_ids": ["2", "1"], "other": 5}', "", "  # no case", '{"id": "b", "answerable": false}']
+    lines = ['{"id": "a", "query": "q", "user_id": "u", "relevant_chunk_ids": ["2", "1"], "notes": 5}', "", "  # no case", '{"id": "b", "answerable": false}']
     cases = evaluation.read_cases(spark.createDataFrame([(x,) for x in lines], "value string"))
     evaluation.save_cases(cases, str(tmp_path / "set"))
-    got = sorted(tuple(r) for r in evaluation.load_cases(spark, str(tmp_path / "set")).collect())
-    assert got == [("a", "q", ["1", "2"], True, ""), ("b", "", [], False, "")]
+    got = sorted((tuple(r) for r in evaluation.load_cases(spark, str(tmp_path / "set")).collect()), key=lambda r: r[0])
+    assert got == [("a", "q", "u", [], ["1", "2"], True, "", []), ("b", None, None, [], [], False, "", [])]
 
 
 def test_keys_and_orphans(spark):

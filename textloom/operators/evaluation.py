@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from .metrics import lift
 
-CASE = "id string, query string, gold_chunk_ids array<string>, answerable boolean, notes string"
+# The keys of a case.
+CASE = "id string, query string, user_id string, document_ids array<string>, relevant_chunk_ids array<string>, answerable boolean, reference_answer string, tags array<string>"
 KEY_METRICS = (("hit", 5), ("recall", 5), ("mrr", 10), ("ndcg", 10), ("precision", 5), ("recall", 10))
 
 
 def read_cases(lines: DataFrame) -> DataFrame:
-    """case_id, query, gold (array), answerable, notes from lines (value): blank ones and those that begin with # are skipped,
-    keys that aren't known ignored, and missing ones have their defaults."""
+    """case_id, query, user_id, document_ids, gold, answerable, reference_answer, tags from lines (value): blank ones and those
+    that begin with # are skipped, keys that aren't known ignored, and missing ones have their defaults."""
     kept = lines.filter((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     x = kept.select(F.from_json("value", CASE).alias("c"))
-    gold = F.coalesce("c.gold_chunk_ids", F.array().cast("array<string>"))
-    return x.select(F.col("c.id").alias("case_id"), F.coalesce("c.query", F.lit("")).alias("query"), gold.alias("gold"), F.coalesce("c.answerable", F.lit(True)).alias("answerable"), F.coalesce("c.notes", F.lit("")).alias("notes"))
+    many = lambda c: F.coalesce(f"c.{c}", F.array().cast("array<string>"))
+    return x.select(
+        F.col("c.id").alias("case_id"),
+        F.col("c.query").alias("query"),
+        F.col("c.user_id").alias("user_id"),
+        many("document_ids").alias("document_ids"),
+        many("relevant_chunk_ids").alias("gold"),
+        F.coalesce("c.answerable", F.lit(True)).alias("answerable"),
+        F.coalesce("c.reference_answer", F.lit("")).alias("reference_answer"),
+        many("tags").alias("tags"),
+    )
 
 
 def case_lines(cases: DataFrame) -> DataFrame:
     """value: each case as a line of JSON, its gold ids sorted."""
-    return cases.select(F.to_json(F.struct(F.col("case_id").alias("id"), "query", F.array_sort("gold").alias("gold_chunk_ids"), "answerable", "notes")).alias("value"))
+    return cases.select(F.to_json(F.struct(F.col("case_id").alias("id"), "query", "user_id", "document_ids", F.array_sort("gold").alias("relevant_chunk_ids"), "answerable", "reference_answer", "tags")).alias("value"))
 
 
 def load_cases(spark: SparkSession, path: str) -> DataFrame:

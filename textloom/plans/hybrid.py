@@ -82,10 +82,10 @@ class HybridRetriever:
     def stages(self, queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
         """case_id, stage, rank, chunk_id, score of keyword, vector, fused, rerank_input, post_rerank, selected and expanded, for evaluation.
 
-        Searches run once: what follows reads the ranked lists' few rows for each query.
+        What follows the searches reads the exchange of their ranked lists, a few rows for each query.
         """
         c = self.config
-        vector, keyword = (df.persist() for df in self.ranked(queries, chunks, documents))
+        vector, keyword = self.ranked(queries, chunks, documents)
         fused = retrieval.fuse(vector, keyword, c.rrf_k, c.vector_weight, c.keyword_weight)
         pool = fused.filter(F.col("fused_rank") <= c.rerank_candidates)
         reranked = self._reranked(fused, queries, chunks)

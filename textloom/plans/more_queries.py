@@ -122,15 +122,15 @@ def indexable_chunks(spark, d):
 # evaluation
 
 
-@query("SELECT CAST(item_id AS VARCHAR) AS case_id, text AS query, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 2 END AS n_gold, item_id % 3 <> 0 AS answerable, '' AS notes FROM benchmark")
+@query("SELECT CAST(item_id AS VARCHAR) AS case_id, text AS query, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 2 END AS n_gold, item_id % 3 <> 0 AS answerable, '' AS reference_answer, 0 AS n_tags FROM benchmark")
 def eval_cases(spark, d):
     """Cases written as lines of JSON, between comments and blank lines, and read back."""
     b = src.table(spark, d, "benchmark")
     gold = F.when(F.col("item_id") % 3 != 0, F.array(F.lit("b"), F.lit("a")))
-    whole = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), gold.alias("gold_chunk_ids"), F.when(F.col("item_id") % 3 == 0, False).alias("answerable"), F.lit(1).alias("unknown"))
+    whole = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), gold.alias("relevant_chunk_ids"), F.when(F.col("item_id") % 3 == 0, False).alias("answerable"), F.lit(1).alias("notes"))
     lines = b.select(F.explode(F.array(F.to_json(whole), F.lit("  "), F.lit(" # comment"))).alias("value"))
     back = evaluation.read_cases(evaluation.case_lines(evaluation.read_cases(lines)))
-    return back.select("case_id", "query", F.size("gold").alias("n_gold"), "answerable", "notes")
+    return back.select("case_id", "query", F.size("gold").alias("n_gold"), "answerable", "reference_answer", F.size("tags").alias("n_tags"))
 
 
 def _metrics(spark, d):
