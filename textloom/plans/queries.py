@@ -85,6 +85,22 @@ mmr AS (
 picked AS (SELECT query_id, chunk_id, pick, relevance FROM mmr WHERE step = 8 AND pick > 0)"""
 
 
+PACKED = """mem AS (SELECT e.*, CASE WHEN token_count <> 0 THEN token_count ELSE greatest(1, CAST(floor(length(text) / 4) AS INT)) END AS tokens, chunk_index - row_number() OVER (PARTITION BY query_id, document_id ORDER BY chunk_index) AS island,
+    (SELECT max(relevance) FROM sel s WHERE s.query_id = e.query_id AND s.document_id = e.document_id AND abs(s.chunk_index - e.chunk_index) <= 1) AS near FROM expanded e),
+runs AS (SELECT query_id, document_id, island, min(chunk_index) AS lo, max(chunk_index) AS hi, max(near) AS score, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(arg_min(tokens, chunk_index) AS BIGINT) AS first_tokens,
+    (SELECT min(pick) FROM sel s WHERE s.query_id = mem.query_id AND s.document_id = mem.document_id) AS doc_first FROM mem GROUP BY query_id, document_id, island),
+queue AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_first, lo, hi, document_id) AS r FROM runs),
+pack AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, false AS taken, CAST(NULL AS BIGINT) AS document_id, CAST(NULL AS INT) AS lo, CAST(NULL AS INT) AS hi, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BIGINT) AS tokens FROM queue
+  UNION ALL
+  SELECT o.query_id, o.r, p.used + CASE WHEN p.used + o.tokens <= 6000 THEN o.tokens WHEN p.n = 0 THEN o.first_tokens ELSE 0 END, p.n + CASE WHEN p.used + o.tokens <= 6000 OR p.n = 0 THEN 1 ELSE 0 END,
+    p.used + o.tokens <= 6000 OR p.n = 0, o.document_id, o.lo, CASE WHEN p.used + o.tokens <= 6000 THEN o.hi ELSE o.lo END, o.score, CASE WHEN p.used + o.tokens <= 6000 THEN o.tokens ELSE o.first_tokens END
+  FROM pack p JOIN queue o ON o.query_id = p.query_id AND o.r = p.r + 1),
+passage AS (SELECT query_id, n AS citation, document_id, lo, hi, score, tokens FROM pack WHERE taken),
+body AS (SELECT p.query_id, p.citation, string_agg(CAST(c.chunk_id AS VARCHAR), ',' ORDER BY c.chunk_index) AS chunk_ids, coalesce(string_agg(c.text, chr(10) ORDER BY c.chunk_index), '') AS text, min(c.page_number) AS a, max(c.page_number) AS b,
+    arg_min(c.section, c.chunk_index) FILTER (c.section <> '') AS section FROM passage p JOIN chunks c ON c.document_id = p.document_id AND c.chunk_index BETWEEN p.lo AND p.hi GROUP BY ALL)"""
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -165,14 +181,17 @@ def passage_runs(spark, d):
     return out.select("query_id", "document_id", "lo", "hi", F.round("score", 9).alias("score"), "tokens", F.size("chunks").cast("bigint").alias("n_chunks"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SEARCH}, {MMR}, {EXPANDED}, {PACKED} SELECT query_id, CAST(citation AS INT) AS citation, document_id, lo, hi, round(score, 9) AS score, tokens, chunk_ids FROM passage JOIN body USING (query_id, citation)")
 def budgeted_passages(spark, d):
     q, c = _search(spark, d)
     r = HybridRetriever()
     return r.passages(r.selected(q, c), c).select("query_id", "citation", "document_id", "lo", "hi", F.round("score", 9).alias("score"), "tokens", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SEARCH}, {MMR}, {EXPANDED}, {PACKED}
+SELECT query_id, string_agg('[' || citation || ']' || coalesce(' ' || section, '') || ' (' || CASE WHEN a IS NULL THEN 'n/a' WHEN a = b THEN 'p.' || a ELSE 'pp.' || a || '-' || b END || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY citation) AS context FROM body GROUP BY 1"""
+)
 def retrieve_context(spark, d):
     return HybridRetriever().retrieve(*_search(spark, d))
 
