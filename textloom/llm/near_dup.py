@@ -241,15 +241,14 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     # a shingle that no other open row has is in no overlap; of the others, no more of a class than both have
     cores = _cores(spark, members.select("row").distinct(), texts)
     factor = (1 + threshold) / threshold
-    members = members.join(cores.select("row", "core"), "row")
+    members = _with(members, cores.select("row", "core")).drop("its")
     least = members.groupBy("bucket").agg(F.min("size").alias("least"))
     members = members.join(least, "bucket").filter(F.col("core") * factor + 1e-6 >= F.col("size") + F.col("least")).drop("least")
     for leaders in (LEADERS, None):
         members = stored(spark, _open(members, components))
         if members.isEmpty():
             return components
-        its = members.groupBy("row").agg(F.collect_list("bucket").alias("its")).join(cores.select("row", "bins"), "row")
-        full = members.join(its, "row")
+        full = _with(members, cores.select("row", "bins"))
         heads = full if leaders else full.filter("loose")
         heads = heads.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "its", "bins", "heft")))
         if leaders:
@@ -265,6 +264,12 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     return components
 
 
+def _with(members: DataFrame, of_rows: DataFrame) -> DataFrame:
+    """The members with their row's columns of of_rows, and its: the row's buckets (2 * BANDS at most). Rows are joined once, not once a bucket."""
+    packed = members.groupBy("row").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "row"])).alias("ms")).join(of_rows, "row")
+    return packed.select(*of_rows.columns, F.col("ms.bucket").alias("its"), F.explode("ms").alias("m")).select("row", "its", *[c for c in of_rows.columns if c != "row"], "m.*")
+
+
 def _linked(spark: SparkSession, components: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The components with the links of those pairs that are similar."""
     links = _compared(spark, pairs, texts).filter(F.col("sim") >= threshold).select("a", "b")
