@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import decontaminate, license_scan, line_dedup, quality_rules, substring_dedup
+from . import decontaminate, license_scan, line_dedup, prefix_trie, quality_rules, substring_dedup, vector_codes
 
 
 def op10() -> str:
@@ -141,3 +141,52 @@ texts AS (SELECT r, string_agg(line || CASE WHEN ln < total THEN chr(10) ELSE ''
 lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(len(lists.w), 0) AS BIGINT) AS n_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(texts.body, '')) AS kept_sha256
 FROM d LEFT JOIN lists USING (r) LEFT JOIN texts USING (r) LEFT JOIN lost USING (r)"""
+
+
+def op11(rules: list[tuple[str, str, str]]) -> str:
+    """Each rule against each URL, by its definition."""
+    values = ", ".join("('" + "', '".join(x.replace("'", "''") for x in rule) + "')" for rule in rules)
+    return rf"""
+WITH cut AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules AS (SELECT verdict, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, b FROM (VALUES {values}) AS v(verdict, h, b)),
+fit AS (SELECT r, h || b AS rule, verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h) + length(b) DESC, length(h) DESC, verdict DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (r)"""
+
+
+def op12() -> str:
+    v, rounds = vector_codes, []
+    for k in range(v.ROUNDS + 1):
+        rounds.append(f"near{k} AS (SELECT r, p, min(d * {v.ENTRIES} + e) AS m FROM (SELECT r, p, e, sum((x.x - b.x) * (x.x - b.x)) AS d FROM x JOIN book{k} b USING (p, j) GROUP BY ALL) GROUP BY ALL)")
+        if k < v.ROUNDS:
+            rounds.append(f"mean{k} AS (SELECT p, m % {v.ENTRIES} AS e, j, sum(x) AS s, count(*) AS n FROM x JOIN near{k} USING (r, p) GROUP BY ALL)")
+            rounds.append(f"book{k + 1} AS (SELECT p, e, j, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM book{k} LEFT JOIN mean{k} USING (p, e, j))")
+    last = v.ROUNDS
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({v.SCALE} * x) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (len(v) // {v.PARTS}) AS p, (i - 1) % (len(v) // {v.PARTS}) AS j, v[i] AS x FROM k, unnest(generate_series(1, len(v))) AS t(i)),
+book0 AS (SELECT p, r - 1 AS e, j, x FROM x WHERE r <= {v.ENTRIES}),
+{", ".join(f"{part.replace(' AS (', ' AS MATERIALIZED (', 1)}" for part in rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', CAST(m % {v.ENTRIES} AS INT)), '' ORDER BY p) AS code, CAST(sum(m // {v.ENTRIES}) AS BIGINT) AS error FROM near{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) FROM book{last}) AS codebooks_sha256
+FROM k JOIN coded USING (r)"""
+
+
+def op13() -> str:
+    t = prefix_trie
+    step = "xor(a, b) >> 1"
+    crc = f"xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor({step}, CASE WHEN xor(a, b) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+    return f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {{'role': coalesce(role, ''), 'said': coalesce(text, '')}} AS said FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(said ORDER BY p) AS own, {crc} % {t.HEADS} AS h FROM t GROUP BY conv_id),
+s AS MATERIALIZED (SELECT c.conv_id, list_concat(coalesce(b.own[1 : c.h], []), c.own[c.h + 1 :]) AS seq FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % {t.FAMILY}),
+starts AS (SELECT conv_id, d, seq[1 : d] AS path, len(seq) = d AS ends FROM s, unnest(generate_series(0, len(seq))) AS g(d)),
+n AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM starts GROUP BY path, d),
+kids AS (SELECT path[1 : d - 1] AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+own AS MATERIALIZED (SELECT n.*, coalesce(kids.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(path[d].said)) ELSE 0 END AS saved FROM n LEFT JOIN kids USING (path)),
+sums AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved) AS saved FROM own a JOIN own b ON b.d >= a.d AND b.path[1 : a.d] = a.path GROUP BY a.path)
+SELECT o.conv_id, o.d AS depth, up.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums USING (path) LEFT JOIN n up ON up.d = o.d - 1 AND up.path = o.path[1 : o.d - 1]"""

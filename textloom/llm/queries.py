@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_wrapper, license_scan, line_dedup, near_dup, oracles, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from . import chat_format, decontaminate, html_wrapper, license_scan, line_dedup, near_dup, oracles, prefix_trie, quality_rules, sentencepiece_codec, substring_dedup, toxicity, url_filter, vector_codes
 
 #: Where the vocabulary file lies; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Verdict, host and path of the rules on URLs of pages.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +82,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page's URL."""
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rules_table(spark, URL_RULES))
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of each whole vector, and the digest of the codebooks."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_substring_dedup, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op9_license_scan, op10_decontamination]
+    found = [op1_html_extraction, op2_substring_dedup, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_sentencepiece, op7_chat_format, op8_minhash_near_dup, op9_license_scan, op10_decontamination, op11_url_filter, op12_vector_codes, op13_prefix_trie]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracles.op2(), "op4_line_dedup": oracles.op4(), "op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op9_license_scan": oracles.op9(), "op10_decontamination": oracles.op10()}
+    return {"op2_substring_dedup": oracles.op2(), "op4_line_dedup": oracles.op4(), "op5_quality_rules": oracles.op5(), "op7_chat_format": oracles.op7(), "op9_license_scan": oracles.op9(), "op10_decontamination": oracles.op10(), "op11_url_filter": oracles.op11(URL_RULES), "op12_vector_codes": oracles.op12(), "op13_prefix_trie": oracles.op13()}
