@@ -37,7 +37,10 @@ def matches(parsed: Column, body: Column) -> Column:
 
 
 def web_search(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """query_id, document_id: each owner's queries (query_id, user_id, text) on that owner's documents (document_id, user_id, text)."""
+    """query_id, document_id: each owner's queries (query_id, user_id, text) on that owner's documents (document_id, user_id, text).
+
+    Every query meets every document of its owner, so this is for few of either; text_index.search_phrases gives the same by postings.
+    """
     asked = queries.select("query_id", "user_id", clauses(F.col("text")).alias("parsed"))
     held = documents.select("document_id", "user_id", lexemes(F.col("text")).alias("body"))
     return held.join(asked, "user_id").filter(matches(F.col("parsed"), F.col("body"))).select("query_id", "document_id")

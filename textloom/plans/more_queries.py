@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import evaluation, ingest, jobs as job_ops, metrics, query_language, relational, structure
+from textloom.operators import evaluation, ingest, jobs as job_ops, metrics, query_language, relational, structure, text_index
 from textloom.sources import tables as src
 
 from .hybrid import HybridRetriever
@@ -36,7 +36,7 @@ WHERE (contains(t, ' ' || a || ' ' || b || ' ') AND NOT contains(t, ' ' || c ||
 )
 def web_search(spark, d):
     docs = src.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), "text")
-    return query_language.web_search(_asked(spark, d), docs)
+    return text_index.search_phrases(text_index.build_positions(docs), _asked(spark, d))
 
 
 @query(r"""SELECT conv_id, turn, regexp_matches(text, '"[^"]+"|(^|\s)-\w|(?i:(^|\s)or(\s|$))') AS operators, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS normal FROM conversations""")
