@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import lift
+from .updates import set_run_status  # noqa: F401 (transitions of runs)
 
 # The keys of a case.
 CASE = "id string, query string, user_id string, document_ids array<string>, relevant_chunk_ids array<string>, answerable boolean, reference_answer string, tags array<string>"
@@ -65,11 +66,3 @@ def report_json(metrics: DataFrame) -> DataFrame:
     """case_id, report: each case's metrics as JSON, in the order of stage, k."""
     one = F.struct("stage", "k", "hit", "recall")
     return metrics.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("report"))
-
-
-def set_run_status(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Runs (run_id, status, metrics, finished_at) after updates (run_id, new_status, new_metrics, at): finished_at is stamped
-    once, with the first terminal status; metrics change only where new ones are given."""
-    x = runs.join(updates, "run_id", "left_outer")
-    ends = F.col("new_status").isin("completed", "failed")
-    return x.select("run_id", F.coalesce("new_status", "status").alias("status"), F.coalesce("new_metrics", "metrics").alias("metrics"), F.when(ends, F.coalesce("finished_at", "at")).otherwise(F.col("finished_at")).alias("finished_at"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ingest import STAGES
+from .updates import mark, replaced, set_index_results, set_status  # noqa: F401 (transitions of this machine)
 
 
 def stage_order(stage: str = "stage"):
@@ -161,12 +162,6 @@ def ascii_metadata(text, limit: int = 200):
     return F.left(F.regexp_replace(text, r"[^\x00-\x7F]", "?"), F.lit(limit))
 
 
-def merged_details(details, more):
-    """Shallow merge of two JSON objects (null: empty), as a map; the right one wins. Values are strings."""
-    left, right = (F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")) for x in (details, more))
-    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
-
-
 def record_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
     """job_id, n_attempts, last_error, history of running jobs: attempts (job_id, attempt, error) in order; other jobs record nothing."""
     running = jobs.filter("status = 'running'").select("job_id")
@@ -174,27 +169,6 @@ def record_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
     return g.select("job_id", F.size("history").cast("bigint").alias("n_attempts"), F.element_at("history", -1)["error"].alias("last_error"), "history")
 
 
-def mark(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Jobs after updates (job_id, to, at, more): running stamps started_at, done and failed finished_at; details are merged."""
-    x = jobs.join(updates, "job_id", "left_outer")
-    to = F.col("to")
-    return x.select("job_id", F.coalesce(to, "status").alias("status"), F.when(to == "running", F.col("at")).otherwise(F.col("started_at")).alias("started_at"), F.when(to.isin("done", "failed"), F.col("at")).otherwise(F.col("finished_at")).alias("finished_at"), F.when(to.isNotNull(), merged_details(F.col("details"), F.col("more"))).otherwise(merged_details(F.col("details"), F.lit(None).cast("string"))).alias("details"))
-
-
-def set_status(documents: DataFrame, updates: DataFrame) -> DataFrame:
-    """Documents (document_id, status, error, indexed_at) after updates (document_id, to, why, at): the error is overwritten, null
-    clears it; indexed stamps indexed_at. An update of no document does nothing."""
-    x = documents.join(updates, "document_id", "left_outer")
-    moved = F.col("to").isNotNull()
-    return x.select("document_id", F.coalesce("to", "status").alias("status"), F.when(moved, F.col("why")).otherwise(F.col("error")).alias("error"), F.when(F.col("to") == "indexed", F.col("at")).otherwise(F.col("indexed_at")).alias("indexed_at"))
-
-
-def set_index_results(documents: DataFrame, results: DataFrame) -> DataFrame:
-    """Documents (document_id, chunk_count, page_count, indexed_at) after results (document_id, chunks, pages, at); null pages keep the count."""
-    x = documents.join(results, "document_id", "left_outer")
-    return x.select("document_id", F.coalesce("chunks", "chunk_count").alias("chunk_count"), F.coalesce("pages", "page_count").alias("page_count"), F.coalesce("at", "indexed_at").alias("indexed_at"))
-
-
 def has_active_job(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     """document_id, active."""
     live = jobs.filter(F.col("status").isin("queued", "running")).select("document_id").distinct().withColumn("active", F.lit(True))
@@ -232,10 +206,11 @@ def reprocess(documents: DataFrame, requests: DataFrame, configs: dict[str, str]
     first job is the stage's, and the artifacts from that stage on go."""
     from .ingest import artifact_keys
 
-    x = documents.join(requests, "document_id", "left_outer")
-    asked = F.col("from_stage").isNotNull()
-    after = x.select("document_id", F.when(asked, "pending").otherwise(F.col("status")).alias("status"), F.when(~asked, F.col("indexed_at")).alias("indexed_at"))
-    jobs = x.filter(asked).select("document_id", F.col("from_stage").alias("stage"), F.lit("queued").alias("status"))
+    # of several requests for a document, the earliest stage
+    requests = requests.groupBy("document_id").agg(F.min_by("from_stage", stage_order("from_stage")).alias("from_stage"))
+    asked = F.col("_u.from_stage").isNotNull()
+    after = replaced(documents, "document_id", requests, {"status": F.when(asked, "pending").otherwise(F.col("status")), "indexed_at": F.when(~asked, F.col("indexed_at"))})
+    jobs = documents.join(requests, "document_id").select("document_id", F.col("from_stage").alias("stage"), F.lit("queued").alias("status"))
     keys = artifact_keys(documents, configs).join(requests, "document_id").filter(stage_order() >= stage_order("from_stage")).select("document_id", "key")
     return after, jobs, keys
 

@@ -167,7 +167,8 @@ def run_status(spark, d):
     jobs = src.jobs(spark, d)
     runs = jobs.select(F.col("job_id").alias("run_id"), "status", F.col("details").alias("metrics"), "finished_at")
     moved = jobs.filter("job_id % 3 < 2").select(F.col("job_id").alias("run_id"), F.when(F.col("job_id") % 3 == 0, "completed").otherwise("running").alias("new_status"), F.when((F.col("job_id") % 3 == 0) & (F.col("job_id") % 2 == 0), "new").alias("new_metrics"), F.lit(src.NOW).cast("timestamp").alias("at"))
-    return evaluation.set_run_status(runs, moved).select("run_id", "status", "metrics", F.unix_micros("finished_at").alias("finished_us"))
+    before = moved.withColumns({"new_status": F.lit("running"), "new_metrics": F.lit("early"), "at": F.col("at") - F.expr("INTERVAL 1 HOUR")})  # each run twice
+    return evaluation.set_run_status(runs, before.filter("new_metrics is not null and run_id % 2 = 0 and run_id % 3 = 0").unionByName(moved)).select("run_id", "status", "metrics", F.unix_micros("finished_at").alias("finished_us"))
 
 
 # jobs and documents
@@ -182,15 +183,17 @@ def record_attempts(spark, d):
 
 @query(
     f"""WITH {JOBS}, u AS (SELECT job_id, CASE job_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' END AS t FROM jobs)
-SELECT job_id, coalesce(t, status) AS status, epoch_us(CASE WHEN t = 'running' THEN {NOW} ELSE started_at END) AS started_us, epoch_us(CASE WHEN t = 'failed' THEN {NOW} ELSE finished_at END) AS finished_us,
-  CASE WHEN t = 'failed' THEN '7' ELSE json_extract_string(details, '$.k') END AS k, CASE WHEN t = 'failed' THEN 'lost' END AS error FROM jobs JOIN u USING (job_id)"""
+SELECT job_id, document_id, coalesce(t, status) AS status, epoch_us(CASE WHEN t = 'running' THEN {NOW} WHEN t = 'failed' THEN {NOW} - INTERVAL 1 HOUR ELSE started_at END) AS started_us, epoch_us(CASE WHEN t = 'failed' THEN {NOW} ELSE finished_at END) AS finished_us,
+  CASE WHEN t = 'failed' THEN '7' WHEN t = 'running' THEN '3' ELSE json_extract_string(details, '$.k') END AS k, CASE WHEN t = 'failed' THEN 'lost' END AS error, CASE WHEN t IS NOT NULL THEN '{{"of":[1,2.5,null]}}' END AS nested FROM jobs JOIN u USING (job_id)"""
 )
 def mark_jobs(spark, d):
     jobs = src.jobs(spark, d)
     to = F.when(F.col("job_id") % 3 == 0, "running").when(F.col("job_id") % 3 == 1, "failed")
     updates = jobs.select("job_id", to.alias("to"), F.lit(src.NOW).cast("timestamp").alias("at"), F.when(to == "failed", '{"k": 7, "error": "lost"}').alias("more")).filter("to is not null")
-    x = job_ops.mark(jobs, updates)
-    return x.select("job_id", "status", F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us"), F.try_element_at("details", F.lit("k")).alias("k"), F.try_element_at("details", F.lit("error")).alias("error"))
+    before = updates.select("job_id", F.lit("running").alias("to"), (F.col("at") - F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit('{"k": 3, "nested": {"of": [1, 2.5, null]}}').alias("more"))  # each job twice
+    x = job_ops.mark(jobs, updates.unionByName(before))
+    field = lambda name: F.get_json_object("details", f"$.{name}").alias(name)
+    return x.select("job_id", "document_id", "status", F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us"), field("k"), field("error"), field("nested"))
 
 
 @query("SELECT event_id, e AS error, CASE WHEN e IN ('ValueError', 'DocumentNotFound') THEN 'permanent' ELSE 'transient' END AS kind FROM (SELECT event_id, ['ValueError', 'TimeoutError', 'DocumentNotFound', 'OSError'][event_id % 4 + 1] AS e FROM events)")
@@ -205,7 +208,8 @@ def set_status(spark, d):
     docs = src.documents(spark, d).select("document_id", "status", F.lit("old").alias("error"), F.lit(None).cast("timestamp").alias("indexed_at"))
     at = F.col("document_id") % 3
     updates = docs.filter(at < 2).select("document_id", F.when(at == 0, "failed").otherwise("indexed").alias("to"), F.when(at == 0, "why").alias("why"), F.lit(src.NOW).cast("timestamp").alias("at"))
-    x = job_ops.set_status(docs, updates.unionByName(updates.limit(1).withColumn("document_id", F.lit(-5).cast("bigint"))))
+    before = updates.withColumns({"to": F.lit("processing"), "why": F.lit("earlier"), "at": F.col("at") - F.expr("INTERVAL 1 HOUR")})  # each document twice
+    x = job_ops.set_status(docs, before.unionByName(updates).unionByName(updates.limit(1).withColumn("document_id", F.lit(-5).cast("bigint"))))
     return x.select("document_id", "status", "error", F.col("indexed_at").isNotNull().alias("stamped"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import index_queries, more_queries  # noqa: F401 (register their queries)
+from . import index_queries, more_queries, store_queries  # noqa: F401 (register their queries)
 from . import queries as registered
 
 
