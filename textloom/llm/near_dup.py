@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -232,42 +232,44 @@ def similar_links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, thr
     sims = _compared(spark, pairs.select(F.col("row").alias("a"), F.col("main").alias("b")), texts)
     components = stored(spark, connected_components(spark, sims.filter(F.col("sim") >= threshold).select("a", "b")))
     pairs = pairs.join(sims.select(F.col("a").alias("row"), F.col("b").alias("main"), F.col("sim").alias("to_main")), ["row", "main"])
-    pairs = _parts(pairs, components)
-    loose = pairs.filter("loose").select(F.explode("its").alias("bucket")).distinct()
-    members = pairs.withColumn("bucket", F.explode("its")).drop("its").join(loose, "bucket", "left_semi")
-    members = stored(spark, members)
+    members = stored(spark, _open(pairs, components))
     if members.isEmpty():
         return components
     # a shingle that no other open row has is in no overlap; of the others, no more of a class than both have
     cores = _cores(spark, members.select("row").distinct(), texts)
     factor = (1 + threshold) / threshold
-    members = _with(members, cores.select("row", "core")).drop("its")
-    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
-    members = members.join(least, "bucket").filter(F.col("core") * factor + 1e-6 >= F.col("size") + F.col("least")).drop("least")
+    members = members.join(cores.select("row", "core"), "row")
+    least = members.select("main", "size", F.explode("its").alias("bucket")).groupBy("main", "bucket").agg(F.min("size").alias("least"))
+    least = least.groupBy("main").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "least"))).alias("least"))  # 2 * BANDS at most
+    reach = F.col("core") * factor + 1e-6 - F.col("size")
+    members = _in_buckets(members.join(least, "main"), F.filter("its", lambda b: F.element_at("least", b) <= reach)).drop("least")
     for leaders in (LEADERS, None):
         members = stored(spark, _open(members, components))
         if members.isEmpty():
             return components
-        full = _with(members, cores.select("row", "bins"))
+        full = members.join(cores.select("row", "bins"), "row")
         heads = full if leaders else full.filter("loose")
-        heads = heads.select("bucket", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "its", "bins", "heft")))
         if leaders:
-            first = Window.partitionBy("bucket").orderBy(F.desc(F.col("head_core") / F.col("head_size")), F.desc("head_heft"), "head_row")
-            heads = stored(spark, heads.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= leaders).drop("k"))
-        met = full.join(heads, "bucket").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
-        if not leaders:  # all that are loose are leaders, so a pair may wait for the first bucket it shares
-            met = met.filter("not loose or row > head_row").filter("bucket = array_min(array_intersect(its, head_its))")
+            first = Window.partitionBy("bucket").orderBy(F.desc(F.col("core") / F.col("size")), F.desc("heft"), "row")
+            chosen = members.select("main", "row", "core", "size", "heft", F.explode("its").alias("bucket")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= leaders)
+            chosen = stored(spark, chosen.groupBy("main", "row").agg(F.collect_list("bucket").alias("led")))
+            heads = heads.join(chosen, ["main", "row"]).withColumn("its", F.col("led"))
+        heads = heads.select("main", *(F.col(c).alias(f"head_{c}") for c in ("row", "part", "size", "core", "to_main", "its", "bins")))
+        # rows of one bucket have its first leader in common, so they meet there once, however many buckets they share
+        met = full.join(heads, "main").filter("part != head_part").filter((F.least("core", "head_core") * factor + 1e-6 >= F.col("size") + F.col("head_size")) & (F.abs(F.col("to_main") - F.col("head_to_main")) <= 1 - threshold + 1e-9))
+        if not leaders:  # all that are loose are leaders
+            met = met.filter("not loose or row > head_row")
         overlap = F.aggregate(F.zip_with("bins", "head_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        met = met.filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
+        met = met.filter(F.arrays_overlap("its", "head_its")).filter(overlap * factor + 1e-6 >= F.col("size") + F.col("head_size"))
         components = _linked(spark, components, met.select(F.col("row").alias("a"), F.col("head_row").alias("b")), texts, threshold)
-        members = members.join(heads.select("bucket", F.col("head_row").alias("row")), ["bucket", "row"], "left_anti") if leaders else members
+        if leaders:
+            members = _in_buckets(members.join(chosen, ["main", "row"], "left_outer"), F.coalesce(F.array_except("its", "led"), F.col("its"))).drop("led")
     return components
 
 
-def _with(members: DataFrame, of_rows: DataFrame) -> DataFrame:
-    """The members with their row's columns of of_rows, and its: the row's buckets (2 * BANDS at most). Rows are joined once, not once a bucket."""
-    packed = members.groupBy("row").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "row"])).alias("ms")).join(of_rows, "row")
-    return packed.select(*of_rows.columns, F.col("ms.bucket").alias("its"), F.explode("ms").alias("m")).select("row", "its", *[c for c in of_rows.columns if c != "row"], "m.*")
+def _in_buckets(members: DataFrame, its: Column) -> DataFrame:
+    """The members in these of their buckets, without those that are in none."""
+    return members.withColumn("its", its).filter(F.size("its") > 0)
 
 
 def _linked(spark: SparkSession, components: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -286,9 +288,13 @@ def _parts(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, components: DataFrame) -> DataFrame:
-    """The members, with their parts, of buckets that have one outside the component of their first leader."""
+    """The members, with their parts, in those of their buckets that have one outside the component of their first leader.
+
+    A bucket has one first leader, and that has 2 * BANDS buckets at most: its open ones are one short list.
+    """
     now = _parts(members, components)
-    return now.join(now.filter("loose").select("bucket").distinct(), "bucket", "left_semi")
+    open_ = now.filter("loose").select("main", F.explode("its").alias("bucket")).groupBy("main").agg(F.collect_set("bucket").alias("open"))
+    return _in_buckets(now.join(open_, "main"), F.array_intersect("its", "open")).drop("open")
 
 
 def _compared(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
