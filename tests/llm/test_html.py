@@ -15,9 +15,9 @@ def alone(page):
     """The text of a page whose host has no other."""
     wrapper = hw.page_wrapper(page)
     found = hw.blocks(page)
-    own = hw.page_verdicts([b.path for b in found], wrapper, hw.verdicts(wrapper))
-    best = max(own, default=0)
-    return [b.text for b, v in zip(found, own) if v == best > 0]
+    judged = hw.verdicts(wrapper)
+    own = hw.page_verdicts([b.path for b in found], wrapper, judged)
+    return [b.text for b, v in zip(found, own) if v >= max(1, min(hw.least_verdict(wrapper, judged), max(own, default=0)))]
 
 
 def texts(spark, rows):
@@ -123,3 +123,56 @@ def test_clashing_columns_and_empty_tables(spark):
     got = hw.extract_main_text(clash).collect()
     assert [(r.host, r.wrapper, r.row, r.salt, r.text) for r in got] == [("mine", 7, 8, 9, "x")]
     assert hw.extract_main_text(df.limit(0)).count() == 0
+
+
+BODY = "A body of some length that says what the page is about, number {k}, and goes on for a while with {w}."
+
+
+def host_of_pages(form, n=8):
+    rnd = random.Random(n)
+    words = lambda: " ".join(f"w{rnd.randrange(999)}" for _ in range(12))
+    return [(k, f"http://h.example/{k}", "<html><body><div class=top>Site</div>" + form.format(k=k, body=BODY.format(k=k, w=words()), more=BODY.format(k=-k, w=words())) + "<div class=end>About us</div></body></html>") for k in range(n)]
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "ad-300x250", "article-comments", "sponsored_box", "cookieBanner newsletter-x"])
+def test_comments_and_adverts_go_whatever_else_their_name_says(spark, name):
+    pages = host_of_pages('<article><h1>T{k}</h1><p>{body}</p><div class="' + name + '"><p>{more}</p></div></article>')
+    got = texts(spark, pages)
+    assert all(got[k].startswith(f"T{k}\n\nA body") and got[k].count("A body") == 1 for k in got)
+
+
+@pytest.mark.parametrize("form", ['<article><h1>Title {k}</h1></article><div class="content"><p>{body}</p><p>{more}</p></div>', '<main><p>Title {k}</p></main><div class="post-content"><p>{body}</p><p>{more}</p></div>'])
+def test_the_mass_of_text_decides_between_containers(spark, form):
+    got = texts(spark, host_of_pages(form))
+    for k, text in got.items():
+        title, *bodies = text.split("\n\n")
+        assert title == f"Title {k}" and len(bodies) == 2 and all("A body" in b for b in bodies)
+
+
+def test_text_beside_a_large_article_goes(spark):
+    got = texts(spark, host_of_pages('<article><h1>T{k}</h1><p>{body}</p><p>{more}</p></article><div class="content-extra post"><p>Read {k} too</p></div>'))
+    assert all("too" not in t and t.count("A body") == 2 for t in got.values())
+
+
+@pytest.mark.parametrize("cells", [1, 7, 60])
+def test_halved_alignments_are_longest(monkeypatch, cells):
+    monkeypatch.setattr(hw, "TABLE_CELLS", cells)
+    rnd = random.Random(cells)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randrange(12))) for _ in range(2))
+        steps = hw.common(list(a), list(b))
+        both = [(i, j) for i, j in steps if i is not None and j is not None]
+        assert [i for i, _ in steps if i is not None] == list(range(len(a))) and [j for _, j in steps if j is not None] == list(range(len(b)))
+        assert len(both) == longest(a, b) and all(a[i] == b[j] for i, j in both)
+
+
+def test_two_long_unlike_pages_align_in_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(2)
+    a, b = ([f"p{rnd.randrange(40)}" for _ in range(6000)] for _ in range(2))
+    tracemalloc.start()
+    steps = hw.common(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    assert sum(i is not None and j is not None for i, j in steps) == hw._prefix_lengths(a, b)[-1]

@@ -46,12 +46,16 @@ NEVER_TAGS = frozenset("nav header footer aside form button select dialog menu".
 ARTICLE_TAGS = frozenset(("article", "main"))
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios complementary contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget alert consent pagination pager".split())
 ARTICLE_WORDS = frozenset("article content main post story entry".split())
+# Of the words above, those that settle it whatever else a name says.
+DECISIVE_WORDS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments comentarios cookie cookies disqus navbar navigation newsletter pagination promoted replies sidebar sponsored subscribe subscription".split())
 #: Words that say nothing by themselves, so that "ad-slot" is an ad while "share-table" is not a share bar.
 NEUTRAL_WORDS = frozenset("slot box list bar block container wrapper wrap area item items links link form thread signup section body text left right top bottom site page posts global primary secondary single blog inner outer group row col inline the by".split())
 #: Elements of a path; deeper ones have the path of the last of these, and their hints.
 PATH_DEPTH = 64
 #: Longest run of paths that folds into a group with its neighbour.
 GROUP_LENGTH = 4
+#: Cells of the table by which two streams are aligned at once.
+TABLE_CELLS = 1 << 20
 #: Wrappers that one task merges at once; more are merged in a tree.
 FAN = 16
 #: Bytes of all wrappers up to which they are broadcast; beyond, they are joined by template and one of SALTS.
@@ -69,7 +73,9 @@ def _hint(tag: str, marks: list[str]) -> int:
     """-1: never of an article, 1: by its words an article, 2: by its tag or role, 0: nothing known."""
     best = 2 if tag in ARTICLE_TAGS else -1 if tag in NEVER_TAGS else 0
     for mark in marks:
-        parts = {w.lower() for w in _PARTS.findall(mark)}
+        parts = {w.lower() for w in _PARTS.findall(mark) if len(w) > 1}  # the x of 300x250 is no word
+        if parts & DECISIVE_WORDS:
+            return -1
         if not parts or parts - NEVER_WORDS - ARTICLE_WORDS - NEUTRAL_WORDS:
             continue
         if parts & NEVER_WORDS:
@@ -258,10 +264,48 @@ class Item:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Steps through both sequences: pairs of a longest common subsequence, and what only one has."""
+    """Steps through both sequences: pairs of a longest common subsequence, and what only one has.
+
+    Up to TABLE_CELLS a table of lengths; larger pairs are halved, with lengths counted in the bits of two
+    numbers (Hirschberg's way), so memory grows with the sequences and not with their product.
+    """
     if a == b:
         return [(k, k) for k in range(len(a))]
+    out: list[tuple[int | None, int | None]] = []
+    waiting = [(0, len(a), 0, len(b))]
+    while waiting:
+        low, high, first, last = waiting.pop()
+        if (high - low) * (last - first) <= TABLE_CELLS or last - first < 2:
+            out += [(None if i is None else low + i, None if j is None else first + j) for i, j in _table_steps(a[low:high], b[first:last])]
+            continue
+        mid = (first + last) // 2
+        ahead = _prefix_lengths(a[low:high], b[first:mid])
+        behind = _prefix_lengths(a[low:high][::-1], b[mid:last][::-1])[::-1]
+        cut = low + max(range(high - low + 1), key=lambda k: ahead[k] + behind[k])
+        waiting += [(cut, high, mid, last), (low, cut, first, mid)]  # the left half is taken next
+    return out
+
+
+def _prefix_lengths(a: list[str], b: list[str]) -> list[int]:
+    """The length of a longest common subsequence of b with each prefix of a, all of them at once in the bits of a number."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every = rest = (1 << len(a)) - 1
+    for x in b:
+        if here := places.get(x, 0) & rest:
+            rest = ((rest + here) | (rest - here)) & every
+    out = [0]
+    for bit in reversed(f"{rest:0{len(a)}b}" if a else ""):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _table_steps(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     n, m = len(a), len(b)
+    if n * m > TABLE_CELLS:  # one element of b against very many of a
+        k = a.index(b[0]) if m and b[0] in a else None
+        return [(i, 0 if i == k else None) for i in range(n)] if k is not None or not m else [*((i, None) for i in range(n)), (None, 0)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, below, x = best[i], best[i + 1], a[i]
@@ -351,6 +395,20 @@ def verdicts(wrapper: list[Item]) -> list[int]:
     return out
 
 
+def least_verdict(wrapper: list[Item], judged: list[int]) -> int:
+    """The verdict from which on items are the article: the highest that holds, with those above it, half of what is judged to be of
+    hinted containers; of plain ones only where hinted containers have less than a tenth of all.
+
+    So the mass of text decides, and a hint between containers of like mass: a title in an article element doesn't outweigh
+    the body beside it.
+    """
+    mass = [sum(x.chars for x, v in zip(wrapper, judged, strict=True) if v == level) for level in range(4)]
+    hinted = mass[2] + mass[3]
+    if 10 * hinted < mass[1]:
+        return 1
+    return 3 if 2 * mass[3] >= hinted > 0 else 2 if hinted else 1
+
+
 def page_verdicts(paths: list[str], wrapper: list[Item], judged: list[int]) -> list[int]:
     """A verdict for each block of a page, from the wrapper's items that its stream aligns with."""
     items, of = fold(paths)
@@ -492,7 +550,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
         joined = keyed.join(salted, ["template", "salt"], "left_outer").select("wrapper", "html", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[Item], list[int]]] = {}
+        known: dict[str, tuple[list[Item], list[int], int]] = {}
         streams: dict[tuple, list[int]] = {}
         for batch in batches:
             texts = []
@@ -507,16 +565,17 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
                         known.clear()
                         streams.clear()
                     items = [Item(*row) for row in json.loads(wrapper)]
-                    known[wrapper] = items, verdicts(items)
+                    judged = verdicts(items)
+                    known[wrapper] = items, judged, least_verdict(items, judged)
                 own = streams.get((wrapper, paths))
                 if own is None:
-                    own = page_verdicts(list(paths), *known[wrapper])
+                    own = page_verdicts(list(paths), *known[wrapper][:2])
                     if len(streams) >= 5000:
                         streams.clear()
                     if len(paths) <= 500:
                         streams[wrapper, paths] = own
-                best = max(own, default=0)
-                texts.append("\n\n".join(b.text for b, v in zip(found, own, strict=True) if v == best > 0))
+                least = max(1, min(known[wrapper][2], max(own, default=0)))  # a page without the article's container has what it has
+                texts.append("\n\n".join(b.text for b, v in zip(found, own, strict=True) if v >= least))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
     done = joined.mapInArrow(run, f"row struct<{inner}>, text string, n_chars bigint")
