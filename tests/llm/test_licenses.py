@@ -90,3 +90,21 @@ def test_anchors_are_enough_for_any_set_that_reaches_the_threshold():
         need = ls.least_bigrams(len(own), ls.LEAST_DICE)
         assert 2 * (need - 1) / (len(own) + need - 1) < ls.LEAST_DICE
         assert all(chosen & set(rnd.sample(own, need)) for _ in range(50))
+
+
+def test_a_reserved_notice_counts_only_by_itself(spark):
+    from textloom.llm.license_texts import BSD_AS_IS, BSD_SOURCE
+
+    bsd = f"Copyright (c) 2019, A Person\nAll rights reserved.\n\n{BSD_SOURCE}\n{BSD_AS_IS}"
+    got = licenses(
+        spark,
+        [
+            (1, bsd),
+            (2, "Copyright 2020 A. All rights reserved.\n\nLicensed under the Apache License, Version 2.0."),
+            (3, "Then the King decided that all rights reserved for nobles were void"),
+            (4, "Some text.\n\n  All rights reserved.\nMore text."),
+            (5, "(c) 2001 Example, Inc. All Rights Reserved"),
+            (6, "© 2001 Example\nall rights reserved to nobody"),
+        ],
+    )
+    assert got == {1: ("BSD-2-Clause",), 2: ("Apache-2.0",), 3: (), 4: ("Proprietary",), 5: ("Proprietary",), 6: ()}

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from .license_texts import TEMPLATES
 
 LEAST_DICE = 0.7
+#: Licences whose notice is so short that it counts only in a text that names no other licence, as a line of its own
+#: (behind a copyright notice at most). Other licences' files and plain prose hold the same words.
+LONE = "Proprietary"
+LONE_LINE = r"(?i)(^|\n)[^\p{L}\p{N}\n]*((copyright|\(c\)|©)[^\n]*)?all rights reserved[^\p{L}\p{N}\n]*(\n|$)"
 
 
 def least_bigrams(n: int, least: float) -> int:
@@ -96,13 +100,18 @@ def license_summary(docs: DataFrame, least: float = LEAST_DICE, templates=TEMPLA
     A word belongs to the best window over it (largest coefficient, then first template, first start, last end); a
     window counts if at least half of its words belong to it, so that a licence isn't taken for
     another one like it. Documents without such a window have an empty list, 0 and 0.0; so have null texts. Rows
-    that are repeated or share an id are kept apart by their texts, and each has its own row.
+    that are repeated or share an id are kept apart by their texts, and each has its own row. LONE counts only where
+    no other licence does, and on a line of its own.
     """
     spans = license_spans(docs, least, templates, id_col, text_col)
     words = spans.withColumn("word", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
     best = words.groupBy("id", "text_key", "word").agg(F.max(F.struct("dice", (-F.col("template")).alias("t"), (-F.col("start")).alias("s"), "stop", "license")).alias("b"))
     own = best.groupBy("id", "text_key", "b").agg(F.count(F.lit(1)).alias("n")).filter(2 * F.col("n") >= F.col("b.stop") + F.col("b.s"))
-    by_doc = own.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_set("b.license")).alias("licenses"), F.sum("n").alias("n_license_words"), F.max("b.dice").alias("best_dice"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"))
+    lone = F.col("b.license") == LONE
+    sums = lambda which: F.struct(F.sort_array(F.collect_set(F.when(which, F.col("b.license")))).alias("licenses"), F.sum(F.when(which, F.col("n"))).alias("n"), F.max(F.when(which, F.col("b.dice"))).alias("best"))
+    by_doc = own.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(sums(~lone).alias("others"), sums(lone).alias("lone"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col).rlike(LONE_LINE), F.lit(False)).alias("reserved"))
     out = keyed.join(by_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_outer")
-    return out.select(F.col("id").alias(id_col), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_license_words", F.lit(0)).cast("bigint").alias("n_license_words"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))
+    found = F.when(F.size("others.licenses") > 0, F.col("others")).when(F.col("reserved"), F.col("lone"))
+    out = out.select("id", found.alias("found"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("found.licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("found.n", F.lit(0)).cast("bigint").alias("n_license_words"), F.coalesce("found.best", F.lit(0.0)).alias("best_dice"))

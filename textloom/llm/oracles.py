@@ -98,7 +98,7 @@ def op9() -> str:
     return rf"""
 WITH t AS (SELECT k, license, w AS body, {grams.format(w="w")} AS g, a FROM (VALUES {", ".join(rows)}) AS v(k, license, w, a)),
 anchor AS (SELECT k, off, body[off + 1] || ' ' || body[off + 2] AS gram FROM (SELECT k, body, unnest(a) AS off FROM t)),
-d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w, coalesce(regexp_matches(text, {quote(license_scan.LONE_LINE)}), false) AS reserved FROM documents),
 p AS (SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(0, len(w) - 1)) AS pos FROM d),
 al AS (SELECT DISTINCT r, k, pos - off AS begin FROM p JOIN anchor USING (gram)),
 c AS (SELECT r, k, license, g, greatest(begin, 0) AS start, least(begin + len(body), len(w)) AS stop, w[greatest(begin, 0) + 1 : least(begin + len(body), len(w))] AS win FROM al JOIN t USING (k) JOIN d USING (r)),
@@ -106,7 +106,8 @@ x AS (SELECT r, k, license, start, stop, 2 * len(list_intersect(wg, g)) / (len(w
 word AS (SELECT *, unnest(range(start, stop)) AS place FROM x WHERE dice >= {t}),
 best AS (SELECT * FROM word QUALIFY row_number() OVER (PARTITION BY r, place ORDER BY dice DESC, k, start, stop DESC) = 1),
 own AS (SELECT r, license, dice, count(*) AS n FROM best GROUP BY r, k, license, start, stop, dice HAVING 2 * count(*) >= stop - start),
-s AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, sum(n) AS n, max(dice) AS best FROM own GROUP BY r)
+named AS (SELECT *, max(CAST(license <> {quote(license_scan.LONE)} AS INT)) OVER (PARTITION BY r) AS others FROM own JOIN d USING (r)),
+s AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, sum(n) AS n, max(dice) AS best FROM named WHERE CASE WHEN others = 1 THEN license <> {quote(license_scan.LONE)} ELSE reserved END GROUP BY r)
 SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_words, round(coalesce(best, 0.0), 6) AS best_dice
 FROM d LEFT JOIN s USING (r)"""
 
