@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Bounds of a request.
 MOST_PASSAGES = 30
+MOST_QUERY_CHARS = 2000
+MOST_DOCUMENT_IDS = 100
 
 
 @dataclass(frozen=True)

@@ -105,16 +105,25 @@ def sweep(jobs: DataFrame, now: str, give_up_hours: int = 12) -> DataFrame:
     return x.select("job_id", "document_id", "stage", action.alias("action"), reason.alias("reason"))
 
 
-def pending_without_job(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Pending documents that no queued or running job will move."""
-    return documents.filter("status = 'pending'").join(jobs.filter(F.col("status").isin("queued", "running")), "document_id", "left_anti")
+def pending_without_job(documents: DataFrame, jobs: DataFrame, now: str | None = None, grace_seconds: int = 12, limit: int | None = None) -> DataFrame:
+    """Pending documents that no queued or running job will move.
+
+    With ``now``, those created in the last seconds are left out, as their job may be on its way; with
+    ``limit``, the oldest so many are given, by created_at and document_id.
+    """
+    waiting = documents.filter("status = 'pending'")
+    if now is not None:
+        waiting = waiting.filter(F.col("created_at") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {grace_seconds} SECONDS"))
+    found = waiting.join(jobs.filter(F.col("status").isin("queued", "running")), "document_id", "left_anti")
+    return found if limit is None else found.orderBy("created_at", "document_id").limit(limit)
 
 
-def reconcile(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Processing documents whose index job is done: document_id, indexed_at, chunk_count."""
+def reconcile(documents: DataFrame, jobs: DataFrame, now: str | None = None) -> DataFrame:
+    """Processing documents whose index job is done: document_id, indexed_at (its end; where it has none, now), chunk_count."""
     done = last_completed(jobs.filter("stage = 'index'"))
     x = documents.filter("status = 'processing'").join(done, "document_id")
-    return x.select("document_id", F.col("finished_at").alias("indexed_at"), F.coalesce(F.get_json_object("details", "$.k").cast("bigint"), F.lit(0).cast("bigint")).alias("chunk_count"))
+    ended = F.coalesce("finished_at", F.current_timestamp() if now is None else F.lit(now).cast("timestamp"))
+    return x.select("document_id", ended.alias("indexed_at"), F.coalesce(F.get_json_object("details", "$.k").cast("bigint"), F.lit(0).cast("bigint")).alias("chunk_count"))
 
 
 def sweep_orphans(objects: DataFrame, live_keys: DataFrame, now: str, grace_hours: int = 2, most: int = 1000) -> DataFrame:
@@ -215,6 +224,14 @@ def reprocess(documents: DataFrame, requests: DataFrame, configs: dict[str, str]
     return after, jobs, keys
 
 
-def processing_since(documents: DataFrame, cutoff: str) -> DataFrame:
-    """Processing documents that weren't updated since a time."""
-    return documents.filter((F.col("status") == "processing") & (F.col("updated_at") < F.lit(cutoff).cast("timestamp")))
+def processing_since(documents: DataFrame, cutoff: str, limit: int | None = None) -> DataFrame:
+    """Processing documents that weren't updated since a time; with ``limit`` the oldest so many, in order."""
+    found = documents.filter((F.col("status") == "processing") & (F.col("updated_at") < F.lit(cutoff).cast("timestamp")))
+    return found if limit is None else found.orderBy("updated_at", "document_id").limit(limit)
+
+
+def newest_per_schema(extractions: DataFrame) -> DataFrame:
+    """The newest extraction of each document and schema (created_at, then extraction_id)."""
+    rest = [c for c in extractions.columns if c not in ("document_id", "schema_name")]
+    newest = F.max_by(F.struct(*rest), F.struct("created_at", "extraction_id"))
+    return extractions.groupBy("document_id", "schema_name").agg(newest.alias("e")).select("document_id", "schema_name", "e.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import words
 
 #: Bins of a group's values.
-BINS = 4096
+BINS = 256
 KS = (1, 3, 5, 10, 20)
 
 
@@ -49,13 +49,14 @@ def aggregate_metrics(metrics: DataFrame) -> DataFrame:
 def latency_stats(samples: DataFrame, by: str, value: str) -> DataFrame:
     """mean, p50, p95 (the element at index int(0.95 n) of the sorted values) and most, one decimal.
 
-    A group's values are counted in BINS of equal width; only those of the bins with a wanted place are
-    ordered, each bin by itself, so no group is sorted or counted by one task.
+    A group's different values are dealt to BINS between approximate quantiles, which hold about as many of them
+    each, whatever outliers there are; only those of the bins with a wanted place are ordered, each bin by
+    itself, so no group is sorted or counted by one task.
     """
     known = samples.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    sizes = known.groupBy(by).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
-    span = F.col("most") - F.col("least")
-    binned = known.join(sizes, by).withColumn("bin", F.when(span > 0, F.floor((F.col(value) - F.col("least")) / span * BINS)).otherwise(F.lit(0)))
+    cuts = F.percentile_approx(value, [k / BINS for k in range(1, BINS)], 10 * BINS).alias("cuts")
+    sizes = known.groupBy(by).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.max(value).alias("most"), cuts)
+    binned = known.join(sizes, by).withColumn("bin", F.size(F.filter("cuts", lambda x: x < F.col(value)))).drop("cuts")
     bins = binned.groupBy(by, "bin").agg(F.sum("c").alias("s"), F.first("n").alias("n"))
     bins = bins.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = F.col("n")

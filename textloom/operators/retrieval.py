@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import lexemes
+from textloom.config import MOST_DOCUMENT_IDS, MOST_PASSAGES, MOST_QUERY_CHARS, RetrievalConfig
+from textloom.functions.text import lexemes, normal_query
 
 #: Queries of one pass over the chunks; more make more passes, as a pass's queries go to every executor as one matrix.
 BLOCK_QUERIES = 4096
@@ -39,6 +40,23 @@ def validate_scope(requested: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("user_id", "document_id", verdict.alias("verdict"))
 
 
+def request_verdicts(requests: DataFrame) -> DataFrame:
+    """requests (text, top_k, document_ids) with verdict: ok, or what is wrong with it (the first that applies).
+
+    A null top_k stands for the default, null document_ids for no list.
+    """
+    ids = F.size(F.coalesce("document_ids", F.array().cast(dict(requests.dtypes)["document_ids"])))
+    top_k = F.coalesce("top_k", F.lit(RetrievalConfig.top_k))
+    verdict = (
+        F.when(normal_query(F.col("text")).isNull(), "empty query")
+        .when(F.char_length("text") > MOST_QUERY_CHARS, "long query")
+        .when(~top_k.between(1, MOST_PASSAGES), "top_k out of bounds")
+        .when(ids > MOST_DOCUMENT_IDS, "too many documents")
+        .otherwise("ok")
+    )
+    return requests.withColumn("verdict", verdict)
+
+
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
     """The queries in blocks of about BLOCK_QUERIES, by a hash of their id."""
     n = -(-queries.count() // BLOCK_QUERIES)
@@ -176,6 +194,16 @@ def lexical_scores(pairs: DataFrame) -> DataFrame:
     return pairs.select("query_id", "chunk_id", (F.size(F.array_intersect(q, c)) / F.greatest(F.lit(1), F.size(q))).alias("rerank_score"))
 
 
+#: Rerankers by name: a function of pairs (query_id, chunk_id, query_text, text) that gives query_id, chunk_id, rerank_score.
+RERANKERS = {"lexical": lexical_scores}
+
+
+def reranker(name: str):
+    if name not in RERANKERS:
+        raise ValueError(f"no reranker {name!r}; there are {', '.join(sorted(RERANKERS))}")
+    return RERANKERS[name]
+
+
 def mmr(pool: DataFrame, k: int, lambda_: float) -> DataFrame:
     """Maximal marginal relevance: query_id, chunk_id, pick (1..k), relevance from a pool with position, relevance, embedding.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.config import RetrievalConfig
 from textloom.functions.text import normal_query, token_estimate
-from textloom.operators import passages, retrieval
+from textloom.operators import passages, retrieval, structure
+from textloom.sources.shared import stored
 
 #: What a passage needs of a chunk, beside its text.
 PAYLOAD = ("chunk_id", "document_id", "chunk_index", "page_number", "section")
@@ -16,17 +17,30 @@ PAYLOAD = ("chunk_id", "document_id", "chunk_index", "page_number", "section")
 class HybridRetriever:
     """Search, fusion, optional reranking, diversification, neighbours, passages and context.
 
-    queries: query_id, embedding, text. Where documents are given, queries have a user_id too (and may have document_ids,
+    queries: query_id, embedding, text; without an embedding, their texts are embedded by the retriever's embedder,
+    behind its prefix. Where documents are given, queries have a user_id too (and may have document_ids,
     an allow-list): each then searches its owner's indexed documents alone.
     """
 
-    def __init__(self, config: RetrievalConfig | None = None):
+    def __init__(self, config: RetrievalConfig | None = None, embedder: str | None = None, prefix: str = "", reranker: str = "lexical"):
         self.config = config or RetrievalConfig()
+        self.embedder, self.prefix = embedder and structure.embedder(embedder), prefix
+        self.reranker = retrieval.reranker(reranker)
+
+    def embedded(self, queries: DataFrame) -> DataFrame:
+        """The queries with an embedding. An error if they have none and the retriever has no embedder; vectors of another
+        length than the chunks' are told by the search."""
+        if "embedding" in queries.columns:
+            return queries
+        if self.embedder is None:
+            raise ValueError("queries have no embedding, and the retriever has no embedder")
+        asked = queries.withColumn("_asked", F.concat(F.lit(self.prefix), F.coalesce(normal_query(F.col("text")), F.lit(""))))
+        return queries.join(self.embedder(asked, "query_id", "_asked"), "query_id")
 
     def ranked(self, queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The two ranked lists: by vectors and by keywords."""
         c, owned = self.config, documents is not None
-        queries = queries.withColumn("text", normal_query(F.col("text")))
+        queries = self.embedded(queries).withColumn("text", normal_query(F.col("text")))
         held = retrieval.scope(chunks, documents) if owned else chunks
         return retrieval.vector_topk(queries, held, c.vector_candidates, owned), retrieval.keyword_topk(queries, held, c.keyword_candidates, owned)
 
@@ -45,7 +59,7 @@ class HybridRetriever:
             return pool.withColumns({"rerank_score": F.lit(None).cast("double"), "final_rank": F.col("fused_rank"), "position": F.col("fused_rank"), "relevance": F.col("fused")})
         asked = queries.select("query_id", normal_query(F.col("text")).alias("query_text"))
         pairs = pool.select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
-        out = retrieval.rerank(pool, retrieval.lexical_scores(pairs), c.rerank_min_score)
+        out = retrieval.rerank(pool, self.reranker(pairs), c.rerank_min_score)
         return out.withColumns({"position": F.col("final_rank"), "relevance": F.coalesce("rerank_score", "fused")})
 
     def selected(self, queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -77,19 +91,22 @@ class HybridRetriever:
         return passages.render(texts.select("query_id", "citation", "section", "page_start", "page_end", F.array_join(F.col("t.text"), "\n").alias("text")))
 
     def retrieve(self, queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-        return self.context(self.passages(self.selected(queries, chunks, documents), chunks), chunks)
+        """query_id, context. The selection, top_k rows for each query, is stored, as what follows reads it several times."""
+        selected = stored(queries.sparkSession, self.selected(queries, chunks, documents))
+        return self.context(self.passages(selected, chunks), chunks)
 
     def stages(self, queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
         """case_id, stage, rank, chunk_id, score of keyword, vector, fused, rerank_input, post_rerank, selected and expanded, for evaluation.
 
-        What follows the searches reads the exchange of their ranked lists, a few rows for each query.
+        Ranked lists, the reranked pool and the selection, a few rows for each query, are stored: each search and each
+        ranking runs once, however many stages and callers read it.
         """
-        c = self.config
-        vector, keyword = self.ranked(queries, chunks, documents)
+        c, spark = self.config, queries.sparkSession
+        vector, keyword = (stored(spark, found) for found in self.ranked(queries, chunks, documents))
         fused = retrieval.fuse(vector, keyword, c.rrf_k, c.vector_weight, c.keyword_weight)
         pool = fused.filter(F.col("fused_rank") <= c.rerank_candidates)
-        reranked = self._reranked(fused, queries, chunks)
-        selected = self._selected(reranked, chunks).withColumnRenamed("pick", "rank")
+        reranked = stored(spark, self._reranked(fused, queries, chunks))
+        selected = stored(spark, self._selected(reranked, chunks).withColumnRenamed("pick", "rank"))
         # neighbours follow the selection, by document and place
         more = self.expanded(selected.withColumnRenamed("rank", "pick"), chunks)
         behind = F.row_number().over(passages.Window.partitionBy("query_id").orderBy(F.asc_nulls_last("order"), "document_id", "chunk_index"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from textloom.functions import json as tj
 from textloom.functions import mime
 from textloom.operators import cascade as deletes
-from textloom.operators import ingest, sinks, updates
+from textloom.operators import evaluation, ingest, metrics, retrieval, sinks, updates
 from textloom.operators import jobs as job_ops
 from textloom.sources import artifacts
 from textloom.sources import tables as src
-from textloom.sources.shared import new_path
+from textloom.sources.shared import new_path, stored
 
+from .hybrid import HybridRetriever
+from .more_queries import HERE, LONG
 from .queries import _PRINTS, DOCS, JOBS, NOW, SQL, STAGE_CONFIGS, query
 
 KEYS = f"""{DOCS}, keyed AS (SELECT document_id, '_pipeline/cache/' || {_PRINTS[2]} || '/' || content_hash || '/chunk.json.gz' AS key FROM docs WHERE regexp_matches(text, '[^ \\t\\n\\r]'))"""
@@ -152,3 +154,51 @@ def partial_updates(spark, d):
     docs = src.documents(spark, d).select("document_id", "user_id", F.lit("old").alias("title"), F.lit(False).alias("needs_review"), F.lit(True).alias("kept"))
     change = lambda n, title, flag, at: docs.filter(F.col("document_id") % 4 < n).select("document_id", F.lit(title).alias("title"), F.lit(flag).cast("boolean").alias("needs_review"), F.lit(at).alias("seq"))
     return updates.patch(docs, "document_id", change(2, "title 1", None, 1).unionByName(change(1, "title 2", None, 2)).unionByName(change(1, None, True, 3)), ["seq"])
+
+
+_RUN = "case_id IN (SELECT query_id FROM q WHERE query_id % 7 <> 0 AND text <> '' AND length(text) <= 2000)"
+
+
+@query(
+    f"""{HERE}, {LONG.replace("FROM metrics)", f"FROM metrics WHERE case_id % 3 <> 0 AND {_RUN})")}
+SELECT stage, metric || '@' || k AS name, mean, (SELECT count(*) FROM q) AS n_cases, (SELECT count(*) FROM q WHERE query_id % 3 <> 0) AS n_answerable,
+  (SELECT count(*) FROM q WHERE query_id % 7 = 0 OR coalesce(text, '') = '') AS n_empty, (SELECT count(*) FROM q WHERE query_id % 7 <> 0 AND length(text) > 2000) AS n_long FROM means"""
+)
+def eval_summary(spark, d):
+    """The summary of an evaluation: means over answerable cases that could be run, and how many couldn't, read back from its JSON."""
+    asked = src.query_batch(spark, d).withColumn("text", F.when(F.col("query_id") % 7 == 0, "  ").otherwise(F.col("text")))
+    cases = asked.select(F.col("query_id").alias("case_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("user_id"), F.array().cast("array<string>").alias("document_ids"), (F.col("query_id") % 3 != 0).alias("answerable"), "embedding")
+    ranked, dropped = evaluation.run_cases(cases, HybridRetriever(), src.vector_chunks(spark, d))
+    found = stored(spark, metrics.rank_metrics(ranked, src.gold(spark, d)))
+    schema = "n_cases bigint, n_answerable bigint, aggregate map<string, map<string, double>>, dropped map<string, bigint>"
+    x = evaluation.summary_report(cases, found, dropped).select(F.from_json("report", schema).alias("r")).select("r.*")
+    n = lambda reason: F.coalesce(F.try_element_at("dropped", F.lit(reason)), F.lit(0)).alias
+    x = x.select("n_cases", "n_answerable", n("empty query")("n_empty"), n("long query")("n_long"), F.explode("aggregate").alias("stage", "means"))
+    return x.select("stage", F.explode("means").alias("name", "mean"), "n_cases", "n_answerable", "n_empty", "n_long")
+
+
+@query(
+    r"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 35 END AS top_k, doc_id % 120 AS n FROM documents)
+SELECT doc_id, CASE WHEN coalesce(trim(regexp_replace(text, '\s+', ' ', 'g')), '') = '' THEN 'empty query' WHEN length(text) > 2000 THEN 'long query' WHEN coalesce(top_k, 8) NOT BETWEEN 1 AND 30 THEN 'top_k out of bounds' WHEN n > 100 THEN 'too many documents' ELSE 'ok' END AS verdict FROM r"""
+)
+def request_verdicts(spark, d):
+    x = src.table(spark, d, "documents")
+    ids = F.when(F.col("doc_id") % 120 > 0, F.sequence(F.lit(1), (F.col("doc_id") % 120).cast("int")))
+    asked = x.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 35).cast("int")).alias("top_k"), ids.alias("document_ids"))
+    return retrieval.request_verdicts(asked).select("doc_id", "verdict")
+
+
+@query(
+    f"""WITH {DOCS}, {JOBS}, c AS (SELECT *, {NOW} - to_seconds(CAST(document_id % 40 AS INT)) AS created_at FROM docs)
+SELECT document_id, user_id FROM c WHERE status = 'pending' AND created_at < {NOW} - INTERVAL 12 SECOND AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.document_id = c.document_id AND j.status IN ('queued', 'running')) ORDER BY created_at, document_id LIMIT 20"""
+)
+def oldest_pending(spark, d):
+    """The twenty oldest pending documents that no job will move, past the grace of those just uploaded."""
+    docs = src.documents(spark, d).withColumn("created_at", F.lit(src.NOW).cast("timestamp") - F.make_dt_interval(secs=(F.col("document_id") % 40)))
+    return job_ops.pending_without_job(docs, src.jobs(spark, d), src.NOW, limit=20).select("document_id", "user_id")
+
+
+@query(f"WITH {JOBS} SELECT document_id, stage AS schema_name, job_id AS extraction_id FROM jobs QUALIFY row_number() OVER (PARTITION BY document_id, stage ORDER BY created_at DESC, job_id DESC) = 1")
+def newest_extractions(spark, d):
+    x = src.jobs(spark, d).select("document_id", F.col("stage").alias("schema_name"), F.col("job_id").alias("extraction_id"), "created_at")
+    return job_ops.newest_per_schema(x).select("document_id", "schema_name", "extraction_id")
