@@ -1,6 +1,7 @@
 """The rounds of leaders on one crowded bucket, against all pairs."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -44,3 +45,36 @@ def test_a_crowded_bucket_loses_no_link(spark, monkeypatch, seed):
         component = {r.node: r.component for r in got}
         assert [component.get(k, k) for k in range(60)] == [root(k) for k in range(60)]
     assert len({root(k) for k in range(60)}) not in (1, 60)
+
+
+def test_no_link_of_the_given_documents_is_lost(spark):
+    """All pairs of sf0.01 that share a shingle, by an inverted list, against the classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: (r.text or "") for r in docs.collect()}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t.translate(fold)) for k, t in rows.items()}
+    bags = {k: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter({tuple(w): 1}) for k, w in words.items() if w}
+    held = {}
+    for k, b in bags.items():
+        for s in b:
+            held.setdefault(s, []).append(k)
+    shared = Counter()
+    for some in held.values():
+        for i, x in enumerate(some):
+            for y in some[:i]:
+                shared[x, y] += 1
+    links = [(x, y) for x, y in shared if (both := (bags[x] & bags[y]).total()) >= 0.8 * (bags[x].total() + bags[y].total() - both)]
+    parent = {k: k for k in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        a, b = root(x), root(y)
+        parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert len(links) > 50
+    assert sum(got[x] == got[y] for x, y in links) >= 0.999 * len(links)  # a link is missed with a probability below 6e-5
+    assert got == {k: root(k) for k in rows}
