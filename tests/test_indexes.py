@@ -67,6 +67,21 @@ def test_all_lists_give_the_exact_result_with_owners_and_ties(spark, monkeypatch
     assert vector_index.search(vector_index.build(chunks.limit(0)), queries, 3).count() == 0
 
 
+@pytest.mark.parametrize("groups", [1, 5])
+def test_exact_search_by_tiles(spark, monkeypatch, groups):
+    monkeypatch.setattr(vector_index, "PIECE_BYTES", 4000)
+    monkeypatch.setattr(vector_index, "TILE_QUERIES", 3)
+    chunks = spark.createDataFrame(vectors(400, 4) + [(900 + k, 3, [1.0] * 24, "u0") for k in range(30)] + [(2000, 1, None, "u1")], VECTORS).repartition(3)
+    for owned in (False, True):
+        queries = asked(chunks, 20)
+        want = rows(retrieval.vector_topk(queries, chunks, 15, owned))
+        assert rows(vector_index.exact_topk(queries.repartition(2), chunks, 15, owned, groups)) == want
+        monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)  # so many blocks that the search goes by tiles
+        assert rows(retrieval.vector_topk(queries, chunks, 15, owned)) == want
+        monkeypatch.undo()
+    assert vector_index.exact_topk(queries.limit(0), chunks, 3).count() == 0
+
+
 WORDS = ["red", "green", "blue", "or", "tea", "sky", "x"]
 
 

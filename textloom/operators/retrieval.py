@@ -15,6 +15,7 @@ from textloom.functions.text import lexemes, normal_query
 
 #: Queries of one pass over the chunks; more make more passes, as a pass's queries go to every executor as one matrix.
 BLOCK_QUERIES = 4096
+MOST_BLOCKS = 4
 #: Bytes of a block's lexemes up to which they are broadcast (a text's bytes, times four).
 BROADCAST_BYTES = 64 << 20
 #: Queries and chunks of one product, so that a task holds BLOCK x TILE scores at most.
@@ -80,10 +81,15 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, owned: bool = Fal
     The queries of a block (BLOCK_QUERIES at most, about) are one matrix on each executor; a task multiplies
     tiles of it with tiles of its chunks, and only its k best per query leave it. Vectors of another length
     than the queries' are an error. With ``owned``, a query meets the chunks of its user_id only, and of its
-    document_ids where it has such a list.
+    document_ids where it has such a list. More than MOST_BLOCKS blocks would read the chunks as often, so
+    then tiles of queries meet pieces of chunks instead (vector_index.exact_topk).
     """
-    found = None
-    for block in query_blocks(queries):
+    found, blocks = None, query_blocks(queries)
+    if len(blocks) > MOST_BLOCKS:
+        from .vector_index import exact_topk
+
+        return exact_topk(queries, chunks, k, owned)
+    for block in blocks:
         part = _vector_block(block, chunks, k, owned)
         found = part if found is None else found.unionByName(part)
     return _ranked(found, k)

@@ -86,21 +86,8 @@ def _probes(x: np.ndarray, centroids: np.ndarray) -> int:
     return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
 
 
-def build(chunks: DataFrame, lists: int | None = None, path: str | None = None) -> VectorIndex:
-    """Indexes chunks (chunk_id, document_id, embedding and, for scoped searches, user_id); rows without a vector are left out."""
-    spark = chunks.sparkSession
-    centroids, n, probes = fit_centroids(chunks, lists)
-    path = path or new_path(spark)
-    held = spark.sparkContext.broadcast(centroids)
-    dimension = centroids.shape[1]
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _units(batch.column("embedding"), dimension)
-            near = (x @ held.value.T).argmax(axis=1).astype(np.int32)
-            vectors = pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(near), *(batch.column(c) for c in ("chunk_id", "document_id", "user_id")), vectors], names=["list", "chunk_id", "document_id", "user_id", "vector"])
-
+def _packer(dimension: int):
+    """A function for mapInArrow that packs neighbouring rows of one list into pieces."""
     rows_of_piece = max(1, PIECE_BYTES // (8 * max(1, dimension)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +103,36 @@ def build(chunks: DataFrame, lists: int | None = None, path: str | None = None)
                     arrays += [pa.array([b"".join(some.column("vector").to_pylist())], pa.binary()), pa.array([owners.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()), pa.array([some.column("document_id").to_pylist()], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["list", "ids", "vectors", "owners", "owner", "documents"])
 
+    return pack
+
+
+def _given(chunks: DataFrame) -> DataFrame:
+    """chunk_id, document_id, user_id, embedding of the rows with a vector; no document or owner where there is no such column."""
     owner = F.col("user_id").cast("string") if "user_id" in chunks.columns else F.lit(None).cast("string")
-    given = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("bigint"), F.col("document_id").cast("bigint"), owner.alias("user_id"), "embedding")
+    document = F.col("document_id").cast("bigint") if "document_id" in chunks.columns else F.lit(None).cast("bigint")
+    return chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("bigint"), document.alias("document_id"), owner.alias("user_id"), "embedding")
+
+
+def build(chunks: DataFrame, lists: int | None = None, path: str | None = None) -> VectorIndex:
+    """Indexes chunks (chunk_id, document_id, embedding and, for scoped searches, user_id); rows without a vector are left out."""
+    spark = chunks.sparkSession
+    centroids, n, probes = fit_centroids(chunks, lists)
+    path = path or new_path(spark)
+    held = spark.sparkContext.broadcast(centroids)
+    dimension = centroids.shape[1]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _units(batch.column("embedding"), dimension)
+            near = (x @ held.value.T).argmax(axis=1).astype(np.int32)
+            vectors = pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(near), *(batch.column(c) for c in ("chunk_id", "document_id", "user_id")), vectors], names=["list", "chunk_id", "document_id", "user_id", "vector"])
+
+    given = _given(chunks)
     if n:
         assigned = given.mapInArrow(assign, "list int, chunk_id bigint, document_id bigint, user_id string, vector binary")
         dealt = assigned.repartitionByRange("list", "chunk_id").sortWithinPartitions("list", "chunk_id")
-        dealt.mapInArrow(pack, _PIECES).write.partitionBy("list").parquet(path)
+        dealt.mapInArrow(_packer(dimension), _PIECES).write.partitionBy("list").parquet(path)
     else:
         spark.createDataFrame([], _PIECES).write.parquet(path)
     return VectorIndex(path, centroids, n, probes)
@@ -150,9 +161,8 @@ def _tiles(queries: DataFrame, index: VectorIndex, first: int, last: int, owned:
     return given.mapInArrow(probe, "list int, query_ids array<bigint>, asked binary, users array<string>, allowed array<array<bigint>>")
 
 
-def _meet(index: VectorIndex, pieces: DataFrame, tiles: DataFrame, k: int, owned: bool) -> DataFrame:
+def _meet(dimension: int, pieces: DataFrame, tiles: DataFrame, k: int, owned: bool) -> DataFrame:
     """query_id, chunk_id, score: the best k of each piece for each query of each tile that meets it."""
-    dimension = index.centroids.shape[1]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +211,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     while True:
         tiles = stored(spark, _tiles(open_, index, first, last, owned))
         probed = [r[0] for r in tiles.select("list").distinct().collect()]  # MOST_LISTS numbers at most, so that only their folders are read
-        part = _ranked(_meet(index, pieces.filter(F.col("list").isin(probed)), tiles, k, owned), k)
+        part = _ranked(_meet(index.centroids.shape[1], pieces.filter(F.col("list").isin(probed)), tiles, k, owned), k)
         found = part if found is None else _ranked(found.drop("rank").unionByName(part.drop("rank")), k)
         if not iterative or last == len(index.centroids):
             return found
@@ -218,6 +228,34 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Groups of pieces in an exact search by tiles; each meets every tile of queries.
+GROUPS = 64
+
+
+def exact_topk(queries: DataFrame, chunks: DataFrame, k: int, owned: bool = False, groups: int | None = None) -> DataFrame:
+    """What retrieval.vector_topk gives, for very many queries: tiles of queries meet pieces of chunks in a join.
+
+    Rows are packed once on either side, each tile is copied to all groups of pieces, and a task multiplies
+    one tile by one piece at a time; nothing comes to the driver but the length of a vector.
+    """
+    some = queries.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    if some is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, score double, rank int")
+    dimension, n = some[0], groups or GROUPS
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("chunk_id")
+            lists = np.full(batch.num_rows, int(ids[0].as_py() or 0) % n if batch.num_rows else 0, np.int32)  # a batch is one group's
+            vectors = pa.array([v.tobytes() for v in _units(batch.column("embedding"), dimension).astype("<f8")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(lists), *(batch.column(c) for c in ("chunk_id", "document_id", "user_id")), vectors], names=["list", "chunk_id", "document_id", "user_id", "vector"])
+
+    pieces = _given(chunks).mapInArrow(unit, "list int, chunk_id bigint, document_id bigint, user_id string, vector binary").mapInArrow(_packer(dimension), _PIECES)
+    one = VectorIndex("", np.zeros((1, dimension)), 0, 1)
+    tiles = _tiles(queries, one, 0, 1, owned).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return _ranked(_meet(dimension, pieces, tiles, k, owned), k)
+
+
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, n_exact, n_found: how many of the exact results (query_id, chunk_id) were found."""
     hits = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left_outer")
