@@ -153,3 +153,35 @@ def test_types_by_signature(spark):
     bad = df.withColumn("got", mime.detect_mime(F.col("h"), F.col("n"))).filter("not got <=> m").collect()
     assert bad == []
     assert df.filter(mime.accepted(mime.detect_mime(F.col("h"), F.col("n")))).count() == sum(m in mime.ALLOWED for *_, m in cases)
+
+
+def test_ingestion_reads_what_it_has_and_makes_the_rest(spark):
+    from textloom.operators import stages
+
+    docs = spark.createDataFrame([(1, "h1", "one  two three"), (2, "h1", "one  two three"), (3, "h2", "​  "), (4, "h3", "a b c d e f"), (5, None, "x"), (6, "h6", None)], "document_id long, content_hash string, text string")
+    calls = []
+
+    def counted(name, stage):
+        def run(rows):
+            calls.extend((name, r.content_hash) for r in rows.select("content_hash").distinct().collect())
+            return stage(rows)
+
+        return run
+
+    made = lambda limit: {"clean": counted("clean", stages.clean), "chunk": counted("chunk", stages.chunk(limit, 1)), "embed": counted("embed", stages.embed("hashing-64"))}
+    configs = {"extract": "e", "clean": "c", "chunk": "3", "embed": "64"}
+    folder = new_path(spark)
+    results = []
+    for limit, given in ((3, docs.filter("document_id < 3")), (3, docs), (3, docs), (2, docs)):
+        calls.clear()
+        chunks, counts = stages.ingest(given, folder, configs | {"chunk": str(limit)}, made(limit))
+        rows = sorted((r.document_id, r.chunk_index, r.text, len(r.embedding)) for r in chunks.collect())
+        results.append((rows, {r.stage: (r.n_cached, r.n_computed) for r in counts.collect()}, sorted(calls)))
+    three = [(k, 0, "one two three", 64) for k in (1, 2)] + [(4, 0, "a b c", 64), (4, 1, "c d e", 64), (4, 2, "e f", 64)]
+    assert results[0] == (three[:2], dict.fromkeys(("clean", "chunk", "embed"), (0, 1)), [("chunk", "h1"), ("clean", "h1"), ("embed", "h1")])
+    assert results[1] == (three, dict.fromkeys(("clean", "chunk", "embed"), (1, 2)), [("chunk", "h3"), ("clean", "h2"), ("clean", "h3"), ("embed", "h3")])
+    assert results[2] == (three, dict.fromkeys(("clean", "chunk", "embed"), (3, 0)), [])
+    assert results[3][1] == {"clean": (3, 0), "chunk": (0, 3), "embed": (0, 3)} and ("clean", "h1") not in results[3][2]
+    assert [r for r in results[3][0] if r[0] == 1] == [(1, 0, "one two", 64), (1, 1, "two three", 64)]
+    with pytest.raises(ValueError, match="without a place"):
+        stages.ingest(docs, folder, configs, {"paint": stages.clean})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import json as tj
 from textloom.functions import mime
 from textloom.operators import cascade as deletes
-from textloom.operators import evaluation, ingest, metrics, retrieval, sinks, updates
+from textloom.operators import evaluation, ingest, metrics, retrieval, sinks, stages, updates
 from textloom.operators import jobs as job_ops
 from textloom.sources import artifacts
 from textloom.sources import tables as src
@@ -202,3 +202,32 @@ def oldest_pending(spark, d):
 def newest_extractions(spark, d):
     x = src.jobs(spark, d).select("document_id", F.col("stage").alias("schema_name"), F.col("job_id").alias("extraction_id"), "created_at")
     return job_ops.newest_per_schema(x).select("document_id", "schema_name", "extraction_id")
+
+
+@query(
+    f"""WITH {DOCS}, c AS (SELECT content_hash, bool_or(document_id % 2 = 0) AS held FROM docs WHERE text IS NOT NULL GROUP BY 1), n AS (SELECT count(*) FILTER (held) AS n_cached, count(*) FILTER (NOT held) AS n_computed FROM c),
+s AS (SELECT unnest(['clean', 'chunk', 'embed']) AS stage, unnest([0, 1, 1]) AS changed)
+SELECT run, stage, CASE WHEN run = 2 AND changed = 1 THEN 0 WHEN run = 2 THEN n_cached + n_computed ELSE n_cached END AS n_cached, CASE WHEN run = 2 AND changed = 1 THEN n_cached + n_computed WHEN run = 2 THEN 0 ELSE n_computed END AS n_computed FROM s, n, (SELECT unnest([1, 2]) AS run)"""
+)
+def cached_stages(spark, d):
+    """What a second ingestion, of all documents after every second one, and a third with another chunk size read and made."""
+    folder, docs = new_path(spark), src.documents(spark, d).select("document_id", "content_hash", "text")
+    made = lambda limit: {"clean": stages.clean, "chunk": stages.chunk(limit), "embed": stages.embed("hashing-64")}
+    stages.ingest(docs.filter("document_id % 2 = 0"), folder, STAGE_CONFIGS, made(64))
+    _, second = stages.ingest(docs, folder, STAGE_CONFIGS, made(64))
+    _, third = stages.ingest(docs, folder, STAGE_CONFIGS | {"chunk": "limit=32,overlap=8"}, made(32))
+    return second.select(F.lit(1).alias("run"), "*").unionByName(third.select(F.lit(2).alias("run"), "*"))
+
+
+@query(
+    rf"""WITH {DOCS}, w AS (SELECT document_id, regexp_extract_all(trim(regexp_replace(regexp_replace(regexp_replace(text, '[' || chr(8203) || chr(8204) || chr(8205) || chr(65279) || ']', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)), '[^ \t\n\r]+') AS w FROM docs),
+s AS (SELECT document_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - 64) / 56) AS BIGINT)) + 1)) AS piece FROM w WHERE len(w) > 0)
+SELECT document_id, piece AS chunk_index, CAST(len(w[piece * 56 + 1 : piece * 56 + 64]) AS BIGINT) AS token_count, sha256(array_to_string(w[piece * 56 + 1 : piece * 56 + 64], ' ')) AS text, 64 AS dimension FROM s"""
+)
+def staged_chunks(spark, d):
+    """Chunks of all documents by the stages, half of them out of the cache."""
+    folder, docs = new_path(spark), src.documents(spark, d).select("document_id", "content_hash", "text")
+    made = {"clean": stages.clean, "chunk": stages.chunk(), "embed": stages.embed("hashing-64")}
+    stages.ingest(docs.filter("document_id % 2 = 0"), folder, STAGE_CONFIGS, made)
+    chunks, _ = stages.ingest(docs, folder, STAGE_CONFIGS, made)
+    return chunks.select("document_id", "chunk_index", "token_count", F.sha2("text", 256).alias("text"), F.size("embedding").alias("dimension"))

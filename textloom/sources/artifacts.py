@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -19,6 +22,14 @@ KEY = r"^(?:[A-Za-z0-9_-][A-Za-z0-9_.-]*/)*[A-Za-z0-9_-][A-Za-z0-9_.-]*\.json\.g
 LISTED = "key string, mtime timestamp, size bigint"
 
 
+def _files(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it."""
+    if folder.startswith("file:") and "://" not in folder:
+        folder = folder.removeprefix("file:")
+    files, root = fs.FileSystem.from_uri(folder)
+    return files, root.rstrip("/")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     keys: int
@@ -52,11 +63,7 @@ class ArtifactWriter(DataSourceWriter):
         self.path = path.rstrip("/")
 
     def write(self, iterator: Iterator) -> Written:
-        import re
-
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("/") else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
+        files, root = _files(self.path)
         made: set[str] = set()
         n = 0
         for row in iterator:
@@ -140,3 +147,25 @@ def load_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """key and the fields of CHUNK of each stored chunk, in rows; missing labels are an empty array."""
     rows = read_artifacts(spark, folder, CHUNK).select("key", F.explode("rows").alias("r")).select("key", "r.*")
     return rows.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+
+
+def fetch_artifacts(keys: DataFrame, folder: str, schema: str = CHUNK) -> DataFrame:
+    """key and rows of the artifacts at these keys (key), each read by itself; rows are null where there is none.
+
+    For a part of a folder; read_artifacts reads all of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(folder)
+        for batch in batches:
+            found = []
+            for key in batch.column("key").to_pylist():
+                try:
+                    with files.open_input_stream(f"{root}/{key}", compression=None) as held:
+                        found.append(gzip.decompress(held.read()).decode())
+                except FileNotFoundError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.string())], names=["key", "payload"])
+
+    wanted = keys.select("key").filter(F.col("key").isNotNull()).distinct()
+    return wanted.mapInArrow(run, "key string, payload string").select("key", F.from_json("payload", f"array<struct<{schema}>>").alias("rows"))
