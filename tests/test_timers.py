@@ -2,6 +2,7 @@
 
 import shutil
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -51,3 +52,19 @@ def test_newer_events_take_timers_back(spark):
     got = sorted((r.job_id, r.document_id, r.action, r.reason, f"{r.due_at:%H:%M}") for r in spark.read.schema(jt.ACTIONS).parquet(out).collect())
     assert got == [(2, 1, "fail", "stalled while running", "03:05"), (3, -1, "requeue", None, "00:50"), (4, 2, "skip", None, "00:20")]
     shutil.rmtree(folder)
+
+
+def test_a_rhythm_until_it_is_stopped(spark):
+    folder, out = tempfile.mkdtemp(prefix="spark-"), new_path(spark)
+    row = spark.createDataFrame([(1, 1, "embed", "queued")], "job_id long, document_id long, stage string, status string").withColumn("at", F.to_timestamp(F.lit("2024-03-01 00:00:00")))
+    row.unionByName(jt.clock(spark, "2024-03-01 01:00:00")).coalesce(1).write.mode("append").parquet(folder)
+    query = jt.watch(jt.event_stream(spark, folder), out, new_path(spark), every="1 second")
+    for _ in range(60):
+        time.sleep(1)
+        if query.lastProgress and len(query.recentProgress) > 1:
+            break
+    assert query.isActive
+    query.processAllAvailable()
+    query.stop()
+    assert [(r.job_id, r.action) for r in spark.read.schema(jt.ACTIONS).parquet(out).collect()] == [(1, "requeue")]
+    shutil.rmtree(folder)

@@ -17,9 +17,11 @@ def document_stream(spark: SparkSession, folder: str, max_files: int = 100) -> D
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def ingest_chunks(documents: DataFrame, out: str, checkpoint: str, limit: int = 64, overlap: int = 8) -> StreamingQuery:
+def ingest_chunks(documents: DataFrame, out: str, checkpoint: str, limit: int = 64, overlap: int = 8, every: str | None = None) -> StreamingQuery:
     """Writes the chunks of each new (source, content); a batch that is run again overwrites its own folder.
 
+    It ends when all there is has been read, or with ``every`` ("30 seconds") looks for more in that rhythm until it is stopped.
+
     Uploads are deduplicated within a day of processing time by owner and content hash.
     """
     arriving = documents.withColumn("content_hash", F.sha2("text", 256)).withColumn("seen_at", F.current_timestamp())
@@ -29,7 +31,8 @@ def ingest_chunks(documents: DataFrame, out: str, checkpoint: str, limit: int =
         cleaned = batch.select("doc_id", clean_text(F.col("text")).alias("text"))
         token_windows(cleaned, limit, overlap).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

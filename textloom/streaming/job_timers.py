@@ -98,9 +98,11 @@ def event_stream(spark: SparkSession, folder: str, max_files: int = 100) -> Data
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def watch(events: DataFrame, out: str, checkpoint: str, late: str = LATE) -> StreamingQuery:
-    """Appends actions to a Parquet folder until all events there are have been read; goes on from its checkpoint when called again."""
-    return job_actions(events, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def watch(events: DataFrame, out: str, checkpoint: str, late: str = LATE, every: str | None = None) -> StreamingQuery:
+    """Appends actions to a Parquet folder until all events there are have been read, or with ``every`` ("30 seconds") in that
+    rhythm until it is stopped; goes on from its checkpoint when called again."""
+    writer = job_actions(events, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def last_actions(actions: DataFrame) -> DataFrame:
