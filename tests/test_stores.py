@@ -155,6 +155,13 @@ def test_types_by_signature(spark):
     assert df.filter(mime.accepted(mime.detect_mime(F.col("h"), F.col("n")))).count() == sum(m in mime.ALLOWED for *_, m in cases)
 
 
+def test_markup_cut_inside_a_character(spark):
+    long = "é".encode() * 3000
+    cases = [(b"<?xml?>" + long, "text/html"), (b" <!DOCTYPE html>x" + long, "text/html"), (b"<html>" + b"\xff" + long, "application/octet-stream"), (b"<html>\x00" + long, "application/octet-stream"), (b"x" + long, "application/octet-stream")]
+    df = spark.createDataFrame([(bytearray(h), "a.md", m) for h, m in cases], "h binary, n string, m string")
+    assert df.withColumn("got", mime.detect_mime(F.col("h"), F.col("n"))).filter("not got <=> m").collect() == []
+
+
 def test_ingestion_reads_what_it_has_and_makes_the_rest(spark):
     from textloom.operators import stages
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ ALLOWED = ("application/pdf", OFFICE + "wordprocessingml.document", OFFICE + "pr
 WINDOW, BEGINNING, CONTROLS = 4096, 256, 0.05
 
 
-def is_text(head: Column) -> Column:
+def is_text(head: Column, size: int = WINDOW) -> Column:
     """Whether the window is UTF-8 without NUL and with few control characters; false for null and empty."""
-    window = F.substring(head, 1, WINDOW)
+    window = F.substring(head, 1, size)
     text = F.try_validate_utf8(window.cast("string"))
     controls = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0E-\x1F]", ""))
     return F.coalesce((F.char_length(text) > 0) & ~F.contains(text, F.lit("\x00")) & (controls < CONTROLS * F.char_length(text)), F.lit(False))
@@ -41,7 +43,10 @@ def is_text(head: Column) -> Column:
 
 def detect_mime(head: Column, name: Column) -> Column:
     """The type by signature, then by members of a ZIP file, then as text by its beginning and the name's ending; null for
-    empty content, application/zip or application/octet-stream where nothing else fits."""
+    empty content, application/zip or application/octet-stream where nothing else fits.
+
+    A window that ends inside a character isn't verified as text, so no name counts; a beginning of markup does.
+    """
     start = F.lower(F.regexp_replace(F.substring(head, 1, BEGINNING).cast("string"), r"^[ \t\n\r\x0B\f]+", ""))
     ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     out = F.when(head.isNull() | (F.octet_length(head) == 0), F.lit(None).cast("string"))
@@ -50,9 +55,9 @@ def detect_mime(head: Column, name: Column) -> Column:
     zipped = F.startswith(head, F.lit(bytearray(ZIP)))
     for member, mime in MEMBERS:
         out = out.when(zipped & F.contains(head, F.lit(bytearray(member))), mime)
-    out = out.when(zipped, "application/zip").when(~is_text(head), "application/octet-stream")
-    for beginning in MARKUP:
-        out = out.when(F.startswith(start, F.lit(beginning)), "text/html")
+    marked = reduce(lambda a, b: a | b, (F.startswith(start, F.lit(x)) for x in MARKUP))
+    cut = reduce(lambda a, b: a | b, (is_text(head, WINDOW - k) for k in (1, 2, 3)))  # without the character that the window cuts
+    out = out.when(zipped, "application/zip").when(marked & (is_text(head) | cut), "text/html").when(~is_text(head), "application/octet-stream")
     for mime, endings in ENDINGS.items():
         out = out.when(ending.isin(*endings), mime)
     return out.otherwise("text/plain")
