@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import lexeme_scores, retrieval, text_index
+from textloom.operators import lexeme_scores, retrieval, text_index, vector_index
 
 
 def plain(queries, chunks, k, owned=False):
@@ -56,3 +56,64 @@ def test_block_search_sends_no_pairs(spark, monkeypatch, configuration):
     got = {(r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in found.collect()}
     assert got == plain([(*r, None, None) for r in queries], [(*r, None, None) for r in chunks], 10) and len(got) >= 100
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_search_sends_no_tiles_for_each_list(spark, monkeypatch):
+    rnd = random.Random(9)
+    given = [(k, k // 4, [rnd.gauss(0, 1) for _ in range(8)], f"u{k % 3}") for k in range(900)]
+    chunks = spark.createDataFrame(given, "chunk_id long, document_id long, embedding array<float>, user_id string").repartition(3)
+    queries = chunks.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", "user_id")
+    index = vector_index.build(chunks, lists=20)
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r["rank"]) for r in df.collect())
+    for owned in (False, True):
+        found = vector_index.search(index, queries, 30, 20, owned, iterative=owned)
+        want = rows(retrieval.vector_topk(queries, chunks, 30, owned))
+        assert rows(found) == want and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)  # so many blocks that tiles meet lists
+        assert rows(vector_index.search(index, queries, 30, 20, owned, iterative=owned)) == want
+        monkeypatch.undo()
+
+
+def test_jobs_share_states(spark):
+    from textloom.sources.shared import new_path
+    from textloom.streaming import job_timers as jt
+
+    n, folder, out = 3000, new_path(spark), new_path(spark)
+    at = (F.lit("2024-03-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("id") % 90).cast("int"))).alias("at")
+    jobs = spark.range(n).select(F.col("id").alias("job_id"), F.col("id").alias("document_id"), F.lit("clean").alias("stage"), F.when(F.col("id") % 3 == 0, "running").when(F.col("id") % 3 == 1, "queued").otherwise("done").alias("status"), at)
+    jobs.unionByName(jt.clock(spark, "2024-03-01 12:30:00")).write.parquet(folder)
+    query = jt.watch(jt.event_stream(spark, folder), out, new_path(spark))
+    query.awaitTermination()
+    states = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+    assert states <= 2 * jt.BUCKETS + 1  # states, and a timer for each, two keys to a timer at most
+    got = Counter((r.action, r.reason) for r in spark.read.schema(jt.ACTIONS).parquet(out).collect())
+    aged = sum(1 for k in range(n) if k % 3 == 1 and k % 90 < 30)
+    assert got == {("fail", "stalled while running"): n // 3, ("requeue", None): n // 3, ("fail", "not picked up in time"): aged}
+
+
+def test_listings_are_made_in_tasks(spark, monkeypatch):
+    import os
+
+    from textloom.operators import jobs as job_ops
+    from textloom.sources import artifacts
+    from textloom.sources.shared import new_path
+
+    monkeypatch.setattr(artifacts, "LISTED_AT_ONCE", 3)
+    folder = new_path(spark)
+    names = [f"_pipeline/cache/{k % 3:016x}/{k:064x}/chunk.json.gz" for k in range(40)]
+    artifacts.write_artifacts(spark.createDataFrame([(n, f'[{{"chunk_index":{k}}}]') for k, n in enumerate(names)], "key string, payload string"), folder)
+    listed = artifacts.list_objects(spark, folder)
+    assert sorted(r.key for r in listed.collect()) == sorted(names) and listed.filter("mtime > timestamp'2020-01-01' and size > 20").count() == 40
+    assert not any("chunk.json.gz" in f for f in listed.inputFiles())  # the driver holds no list of objects
+    assert not any("chunk.json.gz" in f for f in artifacts.load_chunks(spark, folder).inputFiles())
+    assert sorted(r.chunk_index for r in artifacts.load_chunks(spark, folder).collect()) == list(range(40))
+    asked = spark.createDataFrame([(n, k) for k, n in enumerate([*names[:5], "no/such.json.gz", "_pipeline/cache"])], "key string, k int")
+    assert [r.held for r in artifacts.held_keys(asked, folder).orderBy("k").collect()] == [True] * 5 + [False] * 2
+    for most in (7, 30):
+        monkeypatch.setattr(job_ops, "MOST_LIMITED", 10)
+        swept = job_ops.sweep_orphans(listed, asked, "2200-01-01 00:00:00", most=most)
+        assert Counter(r.action for r in swept.collect()) == {"keep_live": 5, "delete": most, "later": 35 - most}
+    os.utime(f"{folder.removeprefix('file://').removeprefix('file:')}/{names[39]}", (10**9, 10**9))
+    monkeypatch.setattr(job_ops, "MOST_LIMITED", 0)
+    oldest = job_ops.sweep_orphans(artifacts.list_objects(spark, folder), asked, "2200-01-01 00:00:00", most=1)
+    assert [r.key for r in oldest.filter("action = 'delete'").collect()] == [names[39]]
