@@ -60,8 +60,7 @@ def ingest(documents: DataFrame, folder: str, configs: dict[str, str], stages: d
     known = documents.filter(F.col("content_hash").isNotNull() & F.col("text").isNotNull())
     contents = stored(spark, known.groupBy("content_hash").agg(F.min("text").alias("text")))
     keys = artifact_keys(contents.select(F.col("content_hash").alias("document_id"), "content_hash"), configs).select("stage", "key", F.col("document_id").alias("content_hash"))
-    held = artifacts.list_objects(spark, folder).select("key", F.lit(True).alias("held"))
-    keys = stored(spark, keys.filter(F.col("stage").isin(*stages)).join(held, "key", "left_outer").withColumn("held", F.coalesce("held", F.lit(False))))
+    keys = stored(spark, artifacts.held_keys(keys.filter(F.col("stage").isin(*stages)), folder))
     before, counts = None, []
     for name in (s for s in STAGES if s in stages):
         own = keys.filter(F.col("stage") == name)

@@ -10,16 +10,20 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from .shared import stored
 
 #: The ending of a file that a task is still writing.
 IN_FLIGHT = ".inprogress"
 #: The form of a key: it can't leave its folder.
 KEY = r"^(?:[A-Za-z0-9_-][A-Za-z0-9_.-]*/)*[A-Za-z0-9_-][A-Za-z0-9_.-]*\.json\.gz$"
 LISTED = "key string, mtime timestamp, size bigint"
+#: Entries of a listing, and characters of contents, that a task passes on at once.
+LISTED_AT_ONCE, FETCHED_BYTES = 8192, 16 << 20
 
 
 def _files(folder: str) -> tuple[fs.FileSystem, str]:
@@ -95,41 +99,59 @@ def write_artifacts(artifacts: DataFrame, folder: str) -> None:
     once.write.format("artifacts").mode("append").save(folder)
 
 
-def _roots(spark: SparkSession, folder: str) -> list[str]:
-    """The folder, and those in it whose names begin with an underscore, which a scan of the folder passes over."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return []
-    inside = [x.getPath() for x in files.listStatus(top) if x.isDirectory()]
-    return [folder, *(p.toString() for p in inside if p.getName().startswith("_"))]
+def _level(folders: DataFrame, folder: str) -> DataFrame:
+    """What lies in these folders (key, relative to the folder): key, mtime, size, inside (whether it is a folder). Run in tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(folder)
+        for batch in batches:
+            for at in batch.column("key").to_pylist():
+                found = files.get_file_info(fs.FileSelector(f"{root}/{at}".rstrip("/"), allow_not_found=True))
+                for begin in range(0, len(found), LISTED_AT_ONCE):
+                    some = found[begin : begin + LISTED_AT_ONCE]
+                    keys = [x.path[len(root) + 1 :] for x in some]
+                    times = pa.array([x.mtime_ns // 1000 if x.mtime_ns is not None else None for x in some], pa.int64()).cast(pa.timestamp("us", "UTC"))
+                    arrays = [pa.array(keys, pa.string()), times, pa.array([x.size for x in some], pa.int64()), pa.array([x.type == fs.FileType.Directory for x in some], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "mtime", "size", "inside"])
 
-def _key(path: Column, folder: str) -> Column:
-    """What follows the folder in a path, whatever scheme it has; folders of one name inside keys don't matter."""
-    inside = folder.split("://")[-1].removeprefix("file:").strip("/")
-    at = F.instr(path, f"/{inside}/")
-    return F.substring(path, at + len(inside) + 2, F.length(path))
+    return folders.mapInArrow(run, f"{LISTED}, inside boolean")
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """key, mtime, size of the files in a folder, at any depth, but those in flight; contents aren't read. A folder that isn't there is empty."""
-    roots = _roots(spark, folder)
-    if not roots:
-        return spark.createDataFrame([], LISTED)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    listed = files.select(_key(F.col("path"), folder).alias("key"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    return listed.filter(~F.endswith("key", F.lit(IN_FLIGHT)) & ~F.startswith("key", F.lit(".tmp/")))
+    """key, mtime, size of the files in a folder, at any depth, but those in flight; contents aren't read. A folder that isn't there is empty.
+
+    Folders are listed level by level in tasks, and each level is stored, so no list of files comes to the driver.
+    """
+    folders, found = spark.createDataFrame([("",)], "key string"), None
+    while True:
+        level = stored(spark, _level(folders, folder))
+        found = level if found is None else found.unionByName(level)
+        inside = level.filter("inside").select("key")
+        if inside.isEmpty():
+            break
+        folders = inside.repartition(F.xxhash64("key"))
+    return found.filter("not inside").drop("inside").filter(~F.endswith("key", F.lit(IN_FLIGHT)) & ~F.startswith("key", F.lit(".tmp/")))
+
+
+def held_keys(keys: DataFrame, folder: str) -> DataFrame:
+    """keys with held: whether there is an object at its key. Asked for each by itself, in tasks; nothing is listed."""
+    schema = StructType([*keys.schema.fields, StructField("held", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(folder)
+        for batch in batches:
+            paths = [f"{root}/{key}" for key in batch.column("key").to_pylist()]
+            held = [x.type == fs.FileType.File for x in files.get_file_info(paths)] if paths else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.bool_())], names=schema.names)
+
+    return keys.mapInArrow(run, schema)
 
 
 def read_artifacts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """key and rows (array of structs, by the schema) of the artifacts in a folder: one JSON array each. Fields that a file
     doesn't have are null; a file that holds no array has null rows."""
-    roots = _roots(spark, folder)
-    if not roots:
-        return spark.createDataFrame([], f"key string, rows array<struct<{schema}>>")
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json.gz").text(roots)
-    return texts.select(_key(F.col("_metadata.file_path"), folder).alias("key"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    keys = list_objects(spark, folder).filter(F.endswith("key", F.lit(".json.gz"))).select("key")
+    return fetch_artifacts(keys, folder, schema)
 
 
 # The fields of a stored chunk.
@@ -157,15 +179,21 @@ def fetch_artifacts(keys: DataFrame, folder: str, schema: str = CHUNK) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
-        for batch in batches:
-            found = []
-            for key in batch.column("key").to_pylist():
-                try:
-                    with files.open_input_stream(f"{root}/{key}", compression=None) as held:
-                        found.append(gzip.decompress(held.read()).decode())
-                except FileNotFoundError:
-                    found.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.string())], names=["key", "payload"])
+        keys: list[str] = []
+        found: list[str | None] = []
+        size = 0
+        for key in (x for batch in batches for x in batch.column("key").to_pylist()):
+            try:
+                with files.open_input_stream(f"{root}/{key}", compression=None) as held:
+                    found.append(gzip.decompress(held.read()).decode())
+            except FileNotFoundError:
+                found.append(None)
+            keys.append(key)
+            size += len(found[-1] or "")
+            if size > FETCHED_BYTES or len(keys) == LISTED_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], names=["key", "payload"])
+                keys, found, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], names=["key", "payload"])
 
     wanted = keys.select("key").filter(F.col("key").isNotNull()).distinct()
     return wanted.mapInArrow(run, "key string, payload string").select("key", F.from_json("payload", f"array<struct<{schema}>>").alias("rows"))
