@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ingest import STAGES
+from .positions import row_positions
 from .updates import mark, replaced, set_index_results, set_status  # noqa: F401 (transitions of this machine)
 
 
@@ -126,13 +127,19 @@ def reconcile(documents: DataFrame, jobs: DataFrame, now: str | None = None) ->
     return x.select("document_id", ended.alias("indexed_at"), F.coalesce(F.get_json_object("details", "$.k").cast("bigint"), F.lit(0).cast("bigint")).alias("chunk_count"))
 
 
+#: Deletions in a pass up to which a limit chooses them.
+MOST_LIMITED = 10_000
+
+
 def sweep_orphans(objects: DataFrame, live_keys: DataFrame, now: str, grace_hours: int = 2, most: int = 1000) -> DataFrame:
     """key, action (keep_live, keep_young, delete, later): at most ``most`` deletions in a pass, oldest first."""
     x = objects.join(live_keys.select("key", F.lit(True).alias("live")).distinct(), "key", "left_outer")
     young = F.col("mtime").isNull() | (F.col("mtime") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {grace_hours} HOURS"))
     kept = x.withColumn("action", F.when(F.col("live"), "keep_live").when(young, "keep_young"))
     dead = kept.filter("action is null")
-    first = dead.orderBy("mtime", "key").limit(most).select("key", F.lit(True).alias("chosen"))
+    # the first few are kept by each task; many are numbered by ranges, so that no task sorts all objects
+    oldest = dead.orderBy("mtime", "key").limit(most) if most <= MOST_LIMITED else row_positions(dead.select("key", "mtime"), ["mtime", "key"]).filter(F.col("position") < most)
+    first = oldest.select("key", F.lit(True).alias("chosen"))
     gone = dead.join(first, "key", "left_outer").select("key", F.when(F.col("chosen"), "delete").otherwise("later").alias("action"))
     return kept.filter("action is not null").select("key", "action").unionByName(gone)
 
