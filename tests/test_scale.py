@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import lexeme_scores, retrieval, text_index, vector_index
+from textloom.operators import lexeme_scores, query_language, retrieval, text_index, vector_index
 
 
 def plain(queries, chunks, k, owned=False):
@@ -58,6 +58,28 @@ def test_block_search_sends_no_pairs(spark, monkeypatch, configuration):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_phrase_search_shuffles_nothing(spark, monkeypatch):
+    for module, name, value in ((text_index, "BLOCK_SEARCHES", 9), (text_index, "MOST_MATCHES", 20), (lexeme_scores, "TILE", 5), (lexeme_scores, "TILE_OCCURRENCES", 40)):
+        monkeypatch.setattr(module, name, value)
+    rnd = random.Random(4)
+    body = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
+    ask = lambda: " ".join(rnd.choice(["a", "-b", '"a b c"', '-"c d"', "OR", '"b a"', "zz", '"d zz"']) for _ in range(rnd.randrange(1, 6)))
+    docs = [(k, rnd.choice(["u", "v", None]), body(rnd.randrange(12))) for k in range(200)] + [(900, "u", None), (901, "v", "")]
+    queries = [(k, rnd.choice(["u", "v", "w", None]), ask()) for k in range(60)]
+    d, q = spark.createDataFrame(docs, "document_id long, user_id string, text string"), spark.createDataFrame(queries, "query_id long, user_id string, text string")
+    index = text_index.build_positions(d.repartition(3))
+    found = text_index.search_phrases(index, q)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, query_language.web_search(q, d).collect())) and len(got) > 200
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # rows leave the tasks that find them
+    assert text_index.search_phrases(index, q.limit(0)).count() == text_index.search_phrases(text_index.build_positions(d.limit(0)), q).count() == 0
+    sizes = Counter()
+    for _, user, text in docs:
+        for w, n in Counter((text or "").split()).items():
+            sizes[w, user] += n
+    assert {(r.lexeme, r.user_id): r.n for r in text_index.index_sizes(spark, index).collect()} == sizes
+
+
 def test_index_search_sends_no_tiles_for_each_list(spark, monkeypatch):
     rnd = random.Random(9)
     given = [(k, k // 4, [rnd.gauss(0, 1) for _ in range(8)], f"u{k % 3}") for k in range(900)]
