@@ -21,6 +21,8 @@ from .shared import stored
 IN_FLIGHT = ".inprogress"
 #: The form of a key: it can't leave its folder.
 KEY = r"^(?:[A-Za-z0-9_-][A-Za-z0-9_.-]*/)*[A-Za-z0-9_-][A-Za-z0-9_.-]*\.json\.gz$"
+#: Where packs lie in a folder; they are no objects.
+PACKS = "_pipeline/packs/"
 LISTED = "key string, mtime timestamp, size bigint"
 #: Entries of a listing, and characters of contents, that a task passes on at once.
 LISTED_AT_ONCE, FETCHED_BYTES = 8192, 16 << 20
@@ -118,7 +120,7 @@ def _level(folders: DataFrame, folder: str) -> DataFrame:
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """key, mtime, size of the files in a folder, at any depth, but those in flight; contents aren't read. A folder that isn't there is empty.
+    """key, mtime, size of the files in a folder, at any depth, but those in flight; contents aren't read. A folder that isn't there is empty, and packs aren't listed.
 
     Folders are listed level by level in tasks, and each level is stored, so no list of files comes to the driver.
     """
@@ -126,7 +128,7 @@ def list_objects(spark: SparkSession, folder: str) -> DataFrame:
     while True:
         level = stored(spark, _level(folders, folder))
         found = level if found is None else found.unionByName(level)
-        inside = level.filter("inside").select("key")
+        inside = level.filter("inside").select("key").filter(F.col("key") != PACKS.rstrip("/"))
         if inside.isEmpty():
             break
         folders = inside.repartition(F.xxhash64("key"))
