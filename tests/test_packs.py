@@ -104,3 +104,18 @@ def test_objects_at_their_keys_are_read(spark):
     assert rows(chunks) == sorted([r for r in expected(20) if r[0] != 3] + [(3, 0, "kept as object", 3, 64)])
     assert {r.stage: r.n_cached for r in told.collect()} == {"clean": 0, "chunk": 1, "embed": 0}
     assert {r.n_cached for r in stages.ingest(given, folder, CONFIGS, MADE)[1].collect()} == {given.select("content_hash").distinct().count()}
+
+
+def test_whole_batches_are_read_without_a_join(spark):
+    folder, given = new_path(spark), docs(spark, 40)
+    stages.ingest(given.filter("document_id % 2 = 0"), folder, CONFIGS, MADE)
+    chunks, _ = stages.ingest(given, folder, CONFIGS, MADE)
+    assert len(chunks.inputFiles()) > 0 and not any(".json.gz" in f for f in chunks.inputFiles())
+    for fingerprint in os.listdir(f"{local(folder)}/{artifacts.PACKS}"):
+        held = stored(spark, packs.held(spark, folder, fingerprint))
+        whole, part = packs.read(held, folder, fingerprint), packs.read(held.filter("content_hash > '8'"), folder, fingerprint)
+        joins = ["Join" in x._jdf.queryExecution().executedPlan().toString() for x in (whole, part)]
+        assert joins == [False, True]
+        assert 0 < part.count() == whole.filter("content_hash > '8'").count() < whole.count()
+        both = spark.read.parquet(f"{local(folder)}/{artifacts.PACKS}{fingerprint}/rows")
+        assert both.count() == whole.count() and both.select("batch").distinct().count() == 2
