@@ -73,8 +73,8 @@ def ingest(documents: DataFrame, folder: str, configs: dict[str, str], stages: d
         todo = asked.filter(F.col(name).isNull())
         if not todo.isEmpty():
             if before is None:
-                texts = known.select("content_hash", "text").join(todo.select("content_hash"), "content_hash", "left_semi")
-                rows = texts.groupBy("content_hash").agg(F.min("text").alias("text")).withColumn("chunk_index", F.lit(0).cast("bigint"))
+                texts = known.groupBy("content_hash").agg(F.min("text").alias("text"))  # copies go before the shuffle
+                rows = texts.join(todo.select("content_hash"), "content_hash", "left_semi").withColumn("chunk_index", F.lit(0).cast("bigint"))
             else:
                 rows = _rows(todo.select("content_hash", F.col(before).alias("batch")), folder, configs, prints, before)
             made = packs.write(stages[name](rows), todo, folder, prints[name])
